@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmark.llm import scratch, topk, warc
+from stallmark.llm import mixing, packing, quality, scratch, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,25 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(again)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_exact_topk": op5_exact_topk, "op9_warc": op9_warc}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scratch.materialize(mixing.measured(_table(spark, sf_dir, "documents")), "mixing-sizes")
+    plan = mixing.plan_for(rows)
+    goals = spark.createDataFrame([*zip(plan.names, plan.sizes, plan.targets, strict=True)], "s string, source_size long, target double")
+    out = mixing.taken_words(rows, plan).join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("s")))
+    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    return quality.score(docs.select("doc_id", quality.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op5_exact_topk, op8_packing, op9_warc, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
