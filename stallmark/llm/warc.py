@@ -41,7 +41,7 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, records_per_file: int = 5000, compression: str = "gzip") -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, records_per_file: int = 2000, compression: str = "gzip") -> None:
     """Writes the archives. Groups of equal payloads are found on (id, digest) alone and joined back by digest and
     a salt of the id, so that a hot payload is spread over tasks."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -73,16 +73,18 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Every piece between two magics: file, off (of its magic), end (of the piece), succ (from its Content-Length;
-    null without one), head and value."""
+    """Every piece between two magics: file, off (of its magic), succ (from its Content-Length; null without one),
+    head and value. What comes from the value is taken before the window, so that a reader of offsets moves no payload."""
     read = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
-    order = Window.partitionBy("file").orderBy("block", "nth")
-    begin = F.coalesce(F.sum(F.octet_length("value") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     head = F.substring_index("value", "\r\n\r\n", 1)
     length = F.expr(r"try_cast(nullif(regexp_extract(head, '(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]+)', 1), '') as long)")
-    pieces = read.withColumn("off", begin - len(MAGIC)).where("off >= 0").withColumn("head", head)
     whole = F.col("value").contains("\r\n\r\n")
-    return pieces.withColumn("succ", F.when(whole, F.col("off") + len(MAGIC) + F.octet_length("head") + 4 + length + 4))
+    read = read.withColumn("head", head).withColumn("size", F.octet_length("value") + len(MAGIC))
+    read = read.withColumn("span", F.when(whole, F.octet_length("head") + len(MAGIC) + 8 + length))
+    order = Window.partitionBy("file").orderBy("block", "nth")
+    begin = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = read.withColumn("off", begin - len(MAGIC)).where("off >= 0")
+    return pieces.select("file", "off", "head", "value", (F.col("off") + F.col("span")).alias("succ"))
 
 
 def _reached(pieces: DataFrame) -> DataFrame:
