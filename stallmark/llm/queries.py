@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmark.llm import line_dedup, mixing, ngram_join, packing, quality, scratch, substring_dedup, topk, vector_dedup, warc
+from stallmark.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality, scratch, substring_dedup, topk, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -65,6 +69,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", quality.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_substring_dedup, op5_exact_topk, op6_ngram_jaccard, op7_vector_dedup, op8_packing, op9_warc, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_substring_dedup, op4_license_scan, op5_exact_topk, op6_ngram_jaccard, op7_vector_dedup, op8_packing, op9_warc, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
