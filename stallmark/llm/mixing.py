@@ -226,7 +226,8 @@ def mix(rows: DataFrame, plan: Plan, how: str = "inner") -> DataFrame:
     first, last = F.floor(F.col("from") / plan.block), F.floor((F.col("from") + F.col("size") - 1) / plan.block)
     rows = rows.withColumn("block", F.explode(F.sequence(first, last)))
     taken = slots(rows.sparkSession, plan).withColumnRenamed("source", "s").withColumnRenamed("block", "b")
-    joined = rows.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), how)
+    # without the hint the planner takes the slots for as small as the shard numbers they come from, and broadcasts them
+    joined = rows.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), how)
     lo = F.greatest(F.col("block") * plan.block - F.col("from"), F.lit(0))
     hi = F.least(F.col("block") * plan.block + F.coalesce("words", F.lit(0)) - F.col("from"), F.col("size"))
     joined = joined.withColumn("lo", lo).withColumn("hi", F.greatest(hi, lo))
