@@ -7,7 +7,8 @@ partner must then share more of it, so fewer candidates are verified; a pair nee
 frequencies come from a sketch of bounded size over all documents; they steer cost and order, never results.
 
 1. Documents with equal sets form a class (its smallest id stands for it). Prefix shingles that only one document has
-   are dropped by an exact count; a filter of fixed size then finds the entries of the others.
+   are dropped by an exact count; a filter of fixed size then finds the entries of the others. Documents left with
+   fewer entries than any partner would ask for go, and with them shingles that no second document has any more.
 2. A star for each shingle: every class is verified against the first class of the shingle it shares most with.
    This joins large groups of near copies with one pair per class.
 3. Entries whose shingle still lies in two components are joined; pairs of two components with enough shared prefix
@@ -35,9 +36,10 @@ from stallmark.llm.sketches import Counts, Filter, Frequent, fill
 
 #: Entries of the frequency sketch that all tasks get: 16 bytes each.
 MOST_FREQUENT = 200_000
-LONGEST = 4
-#: Cost of verifying a candidate, in index entries.
-VERIFY = 24
+#: Matches that prefixes may ask for; sets too small for one ask for what they can.
+MATCHES = (8, 12, 16)
+#: Cost of verifying a candidate, in index entries, and other documents that an infrequent shingle has by chance.
+VERIFY, CHANCE = 24, 0.1
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +85,15 @@ def _prefixes(k: int, frequent, percent: int):
                 order = np.lexsort((g, count, doc))
                 g, cost = g[order], np.concatenate([[0], np.cumsum(count[order])])
                 need = -(-n * percent // 100)
-                best, size, ell = None, n * 0, n * 0
-                for want in range(1, LONGEST + 1):
-                    p = np.minimum(n - need + want, n)
+                best = np.full(len(n), np.inf)
+                size, ell = n * 0, n * 0
+                for wanted in MATCHES:
+                    want = np.minimum(wanted, need)
+                    p = n - need + want
                     entries = cost[begin[:-1] + p] - cost[begin[:-1]]
-                    total = entries + VERIFY * (entries - p) / want
-                    better = (n > 0) if best is None else (want <= need) & (total < best)
-                    size, ell = np.where(better, p, size), np.where(better, want, ell)
-                    best = total if best is None else np.where(better, total, best)
+                    total = entries + VERIFY * (entries - (1 - CHANCE) * p) / np.maximum(want, 1)
+                    better = total < best
+                    size, ell, best = np.where(better, p, size), np.where(better, want, ell), np.where(better, total, best)
                 at = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s[0]), pa.array(s[1]), pa.array(ell.astype(np.int32)), ragged(signed(g[at]), size, pa.int64())], ["doc", "n", "s", "s2", "ell", "prefix"])
 
@@ -159,22 +162,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     entries = sets.where("n > 0 and doc is not null").mapInArrow(_entries(shared), "token long, doc long, n long, s long, s2 long, ell int")
     entries = entries.join(classes.withColumnRenamed("rep", "doc"), ["s", "s2", "n", "doc"]).select("token", "doc", "s", "n", "ell").distinct()
     entries = materialize(entries, "jaccard-entries")
-    hubs = entries.groupBy("token").agg(F.min(F.struct("doc", "s", "n")).alias("hub"), F.max("doc").alias("top")).where("hub.doc < top").select("token", "hub")
-    entries = materialize(entries.join(hubs, "token"), "jaccard-shared")
+    # a partner has 0.8 n shingles or more and asks for so many matches or more, so a document needs as many entries
+    least = F.greatest(F.lit(1), F.least(F.lit(MATCHES[0]), F.floor(F.col("n") * percent * percent / 10000)))
+    for _ in range(2):
+        enough = entries.groupBy("doc", "s", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("doc", "s")
+        entries = entries.join(enough, ["doc", "s"])
+        several = entries.groupBy("token").agg(F.min(F.struct("doc", "s", "n", "ell")).alias("hub"), F.max(F.struct("doc", "s")).alias("top")).where("struct(hub.doc, hub.s) < top").select("token", "hub")
+        entries = materialize(entries.drop("hub").join(several, "token"), "jaccard-shared")
     near = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    wanted = sc.broadcast(fill(entries.select("doc").distinct()))
-    texts = materialize(rows.where("doc is not null").mapInArrow(_wanted(words, wanted), "doc long, s long, text string"), "jaccard-texts").dropDuplicates(["doc", "s"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """pairs: a, sa, b, sb."""
+        pairs = materialize(pairs, f"{name}-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+        wanted = sc.broadcast(fill(ends.distinct()))
+        texts = materialize(rows.where("doc is not null").mapInArrow(_wanted(words, wanted), "doc long, s long, text string"), f"{name}-texts")
         one = texts.select(F.col("doc").alias("a"), F.col("s").alias("sa"), F.col("text").alias("text_a"))
         two = texts.select(F.col("doc").alias("b"), F.col("s").alias("sb"), F.col("text").alias("text_b"))
         both = pairs.join(one, ["a", "sa"]).join(two, ["b", "sb"]).select("a", "sa", "b", "sb", "text_a", "text_b")
-        return both.mapInArrow(_verify(words, percent), "a long, b long")
+        return materialize(both.mapInArrow(_verify(words, percent), "a long, b long"), f"{name}-links")
 
-    stars = entries.where("hub.doc <> doc or hub.s <> s").where(near("n", "hub.n")).groupBy("doc", "s", "hub").agg(F.count("*").alias("k"))
-    stars = stars.groupBy("doc", "s").agg(F.max_by("hub", F.struct("k", F.negate("hub.doc"))).alias("hub"))
-    links = materialize(verified(stars.select(F.col("doc").alias("a"), F.col("s").alias("sa"), F.col("hub.doc").alias("b"), F.col("hub.s").alias("sb"))), "jaccard-links")
+    stars = entries.where("hub.doc <> doc or hub.s <> s").where(near("n", "hub.n")).groupBy("doc", "s", "ell", "hub").agg(F.count("*").alias("k"))
+    stars = stars.where("k >= least(ell, hub.ell)").groupBy("doc", "s").agg(F.max_by("hub", F.struct("k", F.negate("hub.doc"))).alias("hub"))
+    links = verified(stars.select(F.col("doc").alias("a"), F.col("s").alias("sa"), F.col("hub.doc").alias("b"), F.col("hub.s").alias("sb")), "jaccard-stars")
     groups = materialize(components(links, "a", "b", "jaccard-groups"), "jaccard-groups")
     placed = entries.drop("hub").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
     open_ = placed.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
@@ -182,8 +192,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     other = placed.select("token", *(F.col(c).alias(f"{c}_") for c in ("doc", "s", "n", "ell", "group")))
     pairs = placed.join(other, "token").where("doc < doc_ and group <> group_").where(near("n", "n_"))
     pairs = pairs.groupBy("doc", "s", "doc_", "s_").agg(F.count("*").alias("k"), F.min(F.least("ell", "ell_")).alias("ell")).where("k >= ell")
-    more = verified(pairs.select(F.col("doc").alias("b"), F.col("s").alias("sb"), F.col("doc_").alias("a"), F.col("s_").alias("sa")))
-    bridges = materialize(more, "jaccard-bridges")
+    bridges = verified(pairs.select(F.col("doc").alias("b"), F.col("s").alias("sb"), F.col("doc_").alias("a"), F.col("s_").alias("sa")), "jaccard-bridges")
     if not bridges.isEmpty():
         links = links.unionByName(bridges)
         groups = components(links, "a", "b", "jaccard-groups")
