@@ -10,15 +10,17 @@ from stallmark.operators.comparables import newest_pool
 from stallmark.plans import views
 
 _STATS = ["median_price", "mean_price", "min_price", "max_price", "p25", "p75", "p90"]
+#: Doubles are compared to four places; the nudge keeps exact halves, which the two engines round apart, off the edge.
+_ROUNDED = ["median_price", "mean_price", "p25", "p75", "p90"]
 _STATS_SQL = """count(price) AS sample_size, CASE WHEN count(price) >= 10 THEN 'high' WHEN count(price) >= 5 THEN 'medium' ELSE 'low' END AS confidence,
- round(median(price), 6) AS median_price, round(avg(price), 6) AS mean_price, min(price) AS min_price, max(price) AS max_price,
- round(quantile_cont(price, 0.25), 6) AS p25, round(quantile_cont(price, 0.75), 6) AS p75, round(quantile_cont(price, 0.9), 6) AS p90"""
+ round(median(price) + 1e-7, 4) AS median_price, round(avg(price) + 1e-7, 4) AS mean_price, min(price) AS min_price, max(price) AS max_price,
+ round(quantile_cont(price, 0.25) + 1e-7, 4) AS p25, round(quantile_cont(price, 0.75) + 1e-7, 4) AS p75, round(quantile_cont(price, 0.9) + 1e-7, 4) AS p90"""
 
 
 def market_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact price reference of each brand and category, by source and combined."""
     out = statistics.market_statistics(views.listing(spark, sf_dir).where("active and item_condition <> 'damaged'"), ["brand", "category"])
-    return out.withColumns({c: F.round(c, 6) for c in _STATS})
+    return out.withColumns({c: F.round(F.col(c) + 1e-7, 4) if c in _ROUNDED else F.col(c) for c in _STATS})
 
 
 MARKET_STATISTICS = f"""WITH {views.LISTING} SELECT brand, category, CASE WHEN grouping(source) = 1 THEN 'combined' ELSE source END AS scope, {_STATS_SQL}
@@ -28,7 +30,7 @@ MARKET_STATISTICS = f"""WITH {views.LISTING} SELECT brand, category, CASE WHEN g
 def price_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all listings of a source, those without price counted out."""
     out = statistics.price_statistics(views.listing(spark, sf_dir), ["source"])
-    return out.withColumns({c: F.round(c, 6) for c in _STATS})
+    return out.withColumns({c: F.round(F.col(c) + 1e-7, 4) if c in _ROUNDED else F.col(c) for c in _STATS})
 
 
 PRICE_STATISTICS = f"WITH {views.LISTING} SELECT source, {_STATS_SQL} FROM listing GROUP BY source"
