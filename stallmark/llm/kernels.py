@@ -152,3 +152,11 @@ def ragged(values: np.ndarray, lengths: np.ndarray, of: pa.DataType) -> pa.ListA
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, of))
+
+
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column (upper and lower case alike) is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallmark.llm.kernels import STEP, Words, mix, ragged, signed, slices, span_hashes
+from stallmark.llm.kernels import STEP, Words, free, mix, ragged, signed, slices, span_hashes
 from stallmark.llm.scratch import materialize
 from stallmark.llm.sketches import Filter, fill
 
@@ -155,7 +155,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in slices(whole, "_text"):
+        for b in slices(whole, whole.schema.names[-2]):
             texts, gone = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             out, n, removed = [], [], []
             for text, lines in zip(texts, gone, strict=True):
@@ -166,7 +166,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lines = set(lines)
                     text = "\n".join(p for i, p in enumerate(parts) if i not in lines)
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*b.schema.names[:-2], "_out", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_removed"])
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,10 +199,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, i
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines left as text, and n_lines and n_removed."""
-    gone = repeated_lines(docs, min_chars, near_words, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines"))
+    text, doc, lines = (free(n, docs.columns) for n in ("_text", "_doc", "_lines"))
+    gone = repeated_lines(docs, min_chars, near_words, id_col, text_col).withColumnsRenamed({"doc": doc, "lines": lines})
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    rows = docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
-    rows = rows.join(gone, F.col(id_col).cast("long") == F.col("_doc"), "left").select(*rest, "_text", "_lines")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + ", _out string, n_lines long, n_removed long"
-    out = rows.mapInArrow(_cut, schema).withColumnRenamed("_out", text_col)
+    rows = docs.select(*rest, F.col(text_col).cast("string").alias(text))
+    rows = rows.join(gone, F.col(id_col).cast("long") == F.col(doc), "left").select(*rest, text, lines)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + f", `{text}` string, n_lines long, n_removed long"
+    out = rows.mapInArrow(_cut, schema).withColumnRenamed(text, text_col)
     return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")

@@ -193,11 +193,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
             for b in slices(whole, text_col):
                 texts = b.column(b.schema.get_field_index(text_col))
                 s = np.full(b.num_rows, 0.5) if model is None else model.score(*passages(texts))
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    names = [c for c in kept if c != "_text"]
-    keep = [kept.index(c) for c in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", score double, predicted int"
     return docs.select(*kept).mapInArrow(run, schema)
 
 

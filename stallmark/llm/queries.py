@@ -71,4 +71,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_substring_dedup, op4_license_scan, op5_exact_topk, op6_ngram_jaccard, op7_vector_dedup, op8_packing, op9_warc, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for DuckDB where a query's rows can be had from it; the others are held against brute force in tests/llm.
+_REACH = "reach AS (SELECT id, id AS r FROM node UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.r = link.a), component AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(w) - 48)) AS t(i)),
+ first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+ gone AS (SELECT DISTINCT doc_id, win.i + k AS i FROM win JOIN first USING (h), range(50) AS r(k) WHERE m < doc_id),
+ words AS (SELECT doc_id, i, w[i] AS x FROM w, unnest(range(1, len(w) + 1)) AS t(i)),
+ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op5_exact_topk": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_ngram_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, h FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS h FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), node AS (SELECT doc_id AS id FROM documents), {_REACH}
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN component ON id = doc_id""",
+    "op7_vector_dedup": f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9), node AS (SELECT vec_id AS id FROM e), {_REACH}, n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+ SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM component LEFT JOIN n ON a = id""",
+    "op9_warc": """WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+ d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+ 1 + ((((strpos('0123456789abcdef', substr(h, 1 + i * 5 // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 + i * 5 // 4, 1)) - 1) >> (3 - i * 5 % 4)) & 31)::INT, 1)), '') AS payload_digest FROM h),
+ m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM d)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM m""",
+}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallmark.llm.kernels import Words, grams, ragged, signed, slices, sliding_min, span_hashes
+from stallmark.llm.kernels import Words, free, grams, ragged, signed, slices, sliding_min, span_hashes
 from stallmark.llm.scratch import materialize
 
 #: Windows of one stretch at most; cutting longer ones (endless repetition) keeps contents short.
@@ -250,7 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, anchor: int = 5, shard: in
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in slices(whole, "_text"):
+        for b in slices(whole, whole.schema.names[-2]):
             rows = b.num_rows
             n, gone, kept = np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
             spans = b.column(b.num_columns - 1).to_pylist()
@@ -276,7 +276,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """docs without the text, with n_words, n_removed and kept (the words left, joined by one space)."""
     spans = repeated_spans(docs, length, id_col=id_col, text_col=text_col, **options)
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
-    rows = docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
-    rows = rows.join(spans.withColumnRenamed("doc", "_doc").withColumnRenamed("spans", "_spans"), F.col(id_col).cast("long") == F.col("_doc"), "left").select(*rest, "_text", "_spans")
+    text, doc, own = (free(n, docs.columns) for n in ("_text", "_doc", "_spans"))
+    rows = docs.select(*rest, F.col(text_col).cast("string").alias(text))
+    rows = rows.join(spans.withColumnRenamed("doc", doc).withColumnRenamed("spans", own), F.col(id_col).cast("long") == F.col(doc), "left").select(*rest, text, own)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + ", n_words long, n_removed long, kept string"
     return rows.mapInArrow(_cut, schema)

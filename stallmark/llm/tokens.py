@@ -7,6 +7,7 @@ each new piece goes through the BPE model once. Results equal Tokenizer.encode(t
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
@@ -18,6 +19,8 @@ from stallmark.llm.kernels import Words
 
 #: Entries after which a cache is emptied.
 MOST_WORDS, MOST_PIECES = 400_000, 300_000
+#: Words beyond Latin letters go through the tokenizer itself: Unicode tables differ between libraries.
+MOST_KNOWN = "\u024f"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,8 +33,6 @@ def _byte_letters() -> dict[int, str]:
 class WordIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        import json
-
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         steps = [s["type"] for s in kind["normalizer"]["normalizers"]]
@@ -51,10 +52,10 @@ class WordIds:
 
     def of_word(self, raw: bytes) -> list[int]:
         word = raw.decode("utf-8", "replace")
-        if any(s in word for s in self.special):
+        if any(s in word for s in self.special) or (not word.isascii() and max(word) > MOST_KNOWN):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         word = unicodedata.normalize("NFC", word)
-        word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
+        word = word.lower()
         out: list[int] = []
         for piece in self.pattern.findall(word):
             ids = self.pieces.get(piece)
