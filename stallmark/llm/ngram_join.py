@@ -9,10 +9,10 @@ frequencies come from a sketch of bounded size over all documents; they steer co
 1. Documents with equal sets form a class (its smallest id stands for it). Prefix shingles that only one document has
    are dropped by an exact count; a filter of fixed size then finds the entries of the others. Documents left with
    fewer entries than any partner would ask for go, and with them shingles that no second document has any more.
-2. A star for each shingle: every class is verified against the first class of the shingle it shares most with.
-   This joins large groups of near copies with one pair per class.
-3. Entries whose shingle still lies in two components are joined; pairs of two components with enough shared prefix
-   shingles are verified. Pairs inside a component need no test.
+2. Stars, twice: every class is verified against one centre. This joins large groups of near copies with a pair or
+   two for each class.
+3. Entries whose shingle still lies in two components are pruned again and joined; pairs of two components with enough
+   shared prefix shingles are verified. Pairs inside a component need no test.
 4. Verification counts both sets of shingles exactly: 100 * intersection >= 80 * union.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; under `words` words the
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.llm.graph import components
@@ -95,7 +95,7 @@ def _prefixes(k: int, frequent, percent: int):
                     better = total < best
                     size, ell, best = np.where(better, p, size), np.where(better, want, ell), np.where(better, total, best)
                 at = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s[0]), pa.array(s[1]), pa.array(ell.astype(np.int32)), ragged(signed(g[at]), size, pa.int64())], ["doc", "n", "s", "s2", "ell", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s[0]), pa.array(s[1]), pa.array(ell.astype(np.int32)), ragged(signed(g[at]), size, pa.int64()), pa.array(size)], ["doc", "n", "s", "s2", "ell", "prefix", "p"])
 
     return run
 
@@ -108,8 +108,8 @@ def _entries(shared):
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             hit = may(tokens)
-            kept = b.select(["doc", "n", "s", "s2", "ell"]).take(pa.array(row[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), *kept.columns], ["token", "doc", "n", "s", "s2", "ell"])
+            kept = b.select(["doc", "n", "s", "s2", "ell", "p"]).take(pa.array(row[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), *kept.columns], ["token", "doc", "n", "s", "s2", "ell", "p"])
 
     return run
 
@@ -148,6 +148,48 @@ def _verify(k: int, percent: int):
     return run
 
 
+def near(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can link."""
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+
+def least_matches(size: str, prefix: str, ell: str, percent: int, size_: Column | None = None, rest_: Column | None = None) -> Column:
+    """Prefix shingles that a row (n, p, ell) must share with one of `size`, `prefix` and `ell` to link with it: what
+    the overlap must be, less what may lie beyond the prefixes (at most the longer rest)."""
+    size_ = F.col(size) if size_ is None else size_
+    rest_ = F.col(size) - F.col(prefix) if rest_ is None else rest_
+    overlap = F.ceil((F.col("n") + size_) * percent / (100 + percent))
+    return F.greatest(F.lit(1), overlap - F.greatest(F.col("n") - F.col("p"), rest_))
+
+
+def prune(entries: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """Entries (token, doc, s, n, ell, p, group) that may still join two groups, with hits: those of their document.
+
+    Of a shingle the sizes of its documents bound how many matches a partner found by it asks for. A document that has
+    m entries whose bounds are m at most may have a partner; one without such an m has none, and goes."""
+    for _ in range(rounds):
+        token = entries.groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("p")).alias("rest"), F.min("group").alias("a"), F.max("group").alias("z"))
+        token = token.where("a < z").drop("a", "z")
+        rows = entries.drop("hits").join(token, "token").where(F.col("lo") * percent <= F.col("n") * 100).where(F.col("n") * percent <= F.col("hi") * 100)
+        smallest = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100))
+        needs = rows.withColumn("need", least_matches("", "", "", percent, smallest, F.least(F.col("rest"), F.ceil(F.col("n") * 100 / percent))))
+        able = needs.groupBy("doc", "s").agg(F.array_sort(F.collect_list("need")).alias("needs")).where(F.exists(F.transform("needs", lambda x, i: x <= i + 1), lambda x: x)).select("doc", "s", F.size("needs").alias("hits"))
+        entries = materialize(rows.drop("lo", "hi", "rest").join(able, ["doc", "s"]), "jaccard-pruned")
+    return entries
+
+
+def stars(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, sa, b, sb): each document with one centre of another group: of every shingle the document with the largest
+    share of met prefix shingles is the centre (near copies of one text meet in it), and a document takes the centre
+    that most of its shingles have."""
+    centre = F.struct("doc", "s", "n", "p", "group")
+    hubs = entries.groupBy("token").agg(F.max_by(centre, F.struct(F.col("hits") / F.col("p"), F.negate("doc"))).alias("hub"))
+    rows = entries.join(hubs, "token").where("hub.group <> group").where(near("n", "hub.n", percent))
+    rows = rows.groupBy("doc", "s", "n", "p", "ell", "hub").agg(F.count("*").alias("k")).where(2 * F.col("k") >= least_matches("hub.n", "hub.p", "", percent))
+    best = rows.groupBy("doc", "s").agg(F.max_by("hub", F.struct("k", F.negate("hub.doc"))).alias("hub"))
+    return best.select(F.col("doc").alias("a"), F.col("s").alias("sa"), F.col("hub.doc").alias("b"), F.col("hub.s").alias("sb"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id reachable by links."""
     sc = docs.sparkSession.sparkContext
@@ -155,21 +197,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     heavy = rows.select("text").mapInArrow(_count(words), "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
     heavy = heavy.where("count > 3").orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
     frequent = sc.broadcast(Frequent(heavy["token"].to_numpy().astype(np.int64).view(np.uint64), heavy["count"].to_numpy()))
-    sets = materialize(rows.mapInArrow(_prefixes(words, frequent, percent), "doc long, n long, s long, s2 long, ell int, prefix array<long>"), "jaccard-sets")
+    sets = materialize(rows.mapInArrow(_prefixes(words, frequent, percent), "doc long, n long, s long, s2 long, ell int, prefix array<long>, p long"), "jaccard-sets")
     classes = materialize(sets.where("n > 0 and doc is not null").groupBy("s", "s2", "n").agg(F.min("doc").alias("rep")), "jaccard-classes")
     met = sets.where("n > 0 and doc is not null").select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     shared = sc.broadcast(fill(met))
-    entries = sets.where("n > 0 and doc is not null").mapInArrow(_entries(shared), "token long, doc long, n long, s long, s2 long, ell int")
-    entries = entries.join(classes.withColumnRenamed("rep", "doc"), ["s", "s2", "n", "doc"]).select("token", "doc", "s", "n", "ell").distinct()
-    entries = materialize(entries, "jaccard-entries")
-    # a partner has 0.8 n shingles or more and asks for so many matches or more, so a document needs as many entries
-    least = F.greatest(F.lit(1), F.least(F.lit(MATCHES[0]), F.floor(F.col("n") * percent * percent / 10000)))
-    for _ in range(2):
-        enough = entries.groupBy("doc", "s", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("doc", "s")
-        entries = entries.join(enough, ["doc", "s"])
-        several = entries.groupBy("token").agg(F.min(F.struct("doc", "s", "n", "ell")).alias("hub"), F.max(F.struct("doc", "s")).alias("top")).where("struct(hub.doc, hub.s) < top").select("token", "hub")
-        entries = materialize(entries.drop("hub").join(several, "token"), "jaccard-shared")
-    near = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    entries = sets.where("n > 0 and doc is not null").mapInArrow(_entries(shared), "token long, doc long, n long, s long, s2 long, ell int, p long")
+    entries = entries.join(classes.withColumnRenamed("rep", "doc"), ["s", "s2", "n", "doc"]).select("token", "doc", "s", "n", "ell", "p").distinct()
+    entries = prune(materialize(entries.withColumn("group", F.col("doc")), "jaccard-entries"), percent, 2)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """pairs: a, sa, b, sb."""
@@ -182,20 +216,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         both = pairs.join(one, ["a", "sa"]).join(two, ["b", "sb"]).select("a", "sa", "b", "sb", "text_a", "text_b")
         return materialize(both.mapInArrow(_verify(words, percent), "a long, b long"), f"{name}-links")
 
-    stars = entries.where("hub.doc <> doc or hub.s <> s").where(near("n", "hub.n")).groupBy("doc", "s", "ell", "hub").agg(F.count("*").alias("k"))
-    stars = stars.where("k >= least(ell, hub.ell)").groupBy("doc", "s").agg(F.max_by("hub", F.struct("k", F.negate("hub.doc"))).alias("hub"))
-    links = verified(stars.select(F.col("doc").alias("a"), F.col("s").alias("sa"), F.col("hub.doc").alias("b"), F.col("hub.s").alias("sb")), "jaccard-stars")
-    groups = materialize(components(links, "a", "b", "jaccard-groups"), "jaccard-groups")
-    placed = entries.drop("hub").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
-    open_ = placed.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    placed = materialize(placed.join(open_, "token"), "jaccard-open")
-    other = placed.select("token", *(F.col(c).alias(f"{c}_") for c in ("doc", "s", "n", "ell", "group")))
-    pairs = placed.join(other, "token").where("doc < doc_ and group <> group_").where(near("n", "n_"))
-    pairs = pairs.groupBy("doc", "s", "doc_", "s_").agg(F.count("*").alias("k"), F.min(F.least("ell", "ell_")).alias("ell")).where("k >= ell")
+    links, groups = None, None
+    for _ in range(2):
+        found = verified(stars(entries, percent), "jaccard-stars")
+        links = found if links is None else links.unionByName(found)
+        groups = materialize(components(links, "a", "b", "jaccard-groups"), "jaccard-groups")
+        placed = entries.drop("group").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
+        entries = prune(placed, percent, 2)
+    other = entries.select("token", *(F.col(c).alias(f"{c}_") for c in ("doc", "s", "n", "ell", "p", "group")))
+    pairs = entries.join(other, "token").where("doc < doc_ and group <> group_").where(near("n", "n_", percent))
+    pairs = pairs.groupBy("doc", "s", "n", "p", "ell", "doc_", "s_", "n_", "p_", "ell_").agg(F.count("*").alias("k")).where(F.col("k") >= least_matches("n_", "p_", "ell_", percent))
     bridges = verified(pairs.select(F.col("doc").alias("b"), F.col("s").alias("sb"), F.col("doc_").alias("a"), F.col("s_").alias("sa")), "jaccard-bridges")
     if not bridges.isEmpty():
-        links = links.unionByName(bridges)
-        groups = components(links, "a", "b", "jaccard-groups")
+        groups = components(links.unionByName(bridges), "a", "b", "jaccard-groups")
     final = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("s", "s2", "n", F.coalesce("component", "rep").alias("component"))
     linked = sets.select("doc", "n", "s", "s2").join(final, ["s", "s2", "n"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc")))
