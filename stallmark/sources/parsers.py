@@ -14,7 +14,7 @@ NAVIGATION = "(?i)^(notifica[cç][oõ]es|notifications|facebook|marketplace)$"
 
 
 def lines_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_where(items: Column, test) -> Column:
