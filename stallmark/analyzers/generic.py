@@ -9,8 +9,11 @@ from stallmark.analyzers.base import Listing, analysis, present, unknown_or_equa
 from stallmark.analyzers.gpu import WARRANTY
 from stallmark.functions.text import contains_defect, first_term, match, model_signature, normalize_title
 
-#: Fixed values, tried in this order.
+#: Names, patterns and notices, lists tried in their order.
 BRANDS = ["apple", "samsung", "sony", "lg", "dell", "lenovo", "asus", "acer", "motorola", "xiaomi"]
+AS_NEW, REFURBISHED, USED = "novo|lacrado|sem uso", "recondicionado", "usado"
+SAYS_DEFECT = "O anúncio menciona defeito ou avaria"
+SAYS_SOUND = "Nenhum defeito explícito foi identificado no texto"
 STOP_WORDS = ["aparelho", "caixa", "com", "estado", "excelente", "lacrado", "novo", "produto", "seminovo", "usado", "venda", "vendo"]
 
 
@@ -28,13 +31,13 @@ class GenericAnalyzer:
     def extract(self, listing: Listing) -> Column:
         text = listing.text
         brand, defect = first_term(text, BRANDS), contains_defect(text)
-        condition = F.when(defect, "damaged").when(text.rlike("novo|lacrado|sem uso"), "new").when(text.rlike("recondicionado"), "refurbished").when(text.rlike("usado"), "used").otherwise("unknown")
+        condition = F.when(defect, "damaged").when(text.rlike(AS_NEW), "new").when(text.rlike(REFURBISHED), "refurbished").when(text.rlike(USED), "used").otherwise("unknown")
         return F.struct(
             brand.alias("brand"),
             infer_model(listing.title, brand).alias("model"),
             condition.alias("condition"),
             F.trim(match(text, WARRANTY)).alias("warranty"),
-            present((defect, "O anúncio menciona defeito ou avaria")).alias("defects"),
+            present((defect, SAYS_DEFECT)).alias("defects"),
             F.array().cast("array<string>").alias("features"),
             F.when(brand.isNotNull(), 0.65).otherwise(0.4).alias("extraction_confidence"),
         )
@@ -47,5 +50,5 @@ class GenericAnalyzer:
 
     def analyze(self, data: Column) -> Column:
         risks = data["defects"]
-        gains = present((F.size(risks) == 0, "Nenhum defeito explícito foi identificado no texto"))
+        gains = present((F.size(risks) == 0, SAYS_SOUND))
         return analysis(F.when(data["extraction_confidence"] >= 0.6, 9).otherwise(5), F.when(F.size(risks) > 0, 3).otherwise(11), gains, risks)

@@ -13,7 +13,7 @@ from stallmark.analyzers.vehicle import VehicleAnalyzer
 from stallmark.functions.text import normalize_title
 
 CATEGORIES = ["vehicle", "gpu", "notebook", "electronics", "generic"]
-#: Patterns over normalized title and description, tried in this order.
+#: Patterns over normalized title and description, tried in this order.
 RULES = [
     ("notebook", [r"\b(notebook|laptop|macbook|ultrabook)\b"]),
     ("gpu", [r"\b(rtx|gtx|radeon rx|geforce|placa de video|gpu)\b"]),

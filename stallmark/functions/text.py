@@ -17,9 +17,10 @@ STATES = {
     "rio grande do norte": "RN", "rio grande do sul": "RS", "rondonia": "RO", "roraima": "RR", "santa catarina": "SC",
     "sao paulo": "SP", "sergipe": "SE", "tocantins": "TO",
 }
+#: How a defect is denied, and told.
 NEGATED_DEFECT = r"\b(?:sem|nenhum(?:a)?|nao (?:tem|possui|apresenta))(?: qualquer)? (?:defeitos?|avarias?|problemas?)\b"
 DEFECT = r"\b(?:defeitos?|defeituos[oa]s?|nao funciona|quebrad[oa]s?|avariad[oa]s?|para retirar pecas|com problema)\b"
-#: Secrets that logs must not hold, and what stands in their place.
+#: Secrets that logs must not hold, and what stands in their place.
 SECRETS = (
     (r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]+=*", "Bearer [REDACTED]"),
     (r"\bbot\d+:[A-Za-z0-9_-]{20,}\b", "bot[REDACTED]"),

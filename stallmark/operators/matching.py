@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stallmark.functions.text import jaccard, tokens
 
+#: Reasons of a match.
 TITLES, PRICES, PLACES = "Títulos semelhantes", "Preços iguais ou muito próximos", "Localizações semelhantes"
 
 

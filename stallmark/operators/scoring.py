@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallmark.functions.numbers import clamp, percentage_difference, round_half_up
 
+#: Fixed value: what an analysis without a model says of itself.
 FALLBACK_REASON = "Score calculado por regras determinísticas; análise LLM não executada."
 
 

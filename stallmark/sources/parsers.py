@@ -9,6 +9,7 @@ from stallmark.functions.numbers import parse_price
 from stallmark.functions.text import match, nullable_text
 from stallmark.functions.urls import first_party_id
 
+#: Patterns of price lines and of titles that are navigation.
 PRICE = r"(?i)R\$\s*[\d.]+(?:,\d{2})?"
 NAVIGATION = "(?i)^(notifica[cç][oõ]es|notifications|facebook|marketplace)$"
 
@@ -96,7 +97,7 @@ def facebook_page(text: Column) -> Column:
     return F.transform(F.array(lines_of(text)), lambda ls: _facebook_fields(ls))[0]
 
 
-#: Headings on the pages.
+#: Headings and keys on the pages.
 DESCRIPTION_HEADS = ["Descrição do vendedor", "Seller's description", "Descrição", "Description"]
 SELLER_HEADS = ["Informações do vendedor", "Seller information", "Seller details"]
 KEYS = ["Condição", "Condition", "Marca", "Brand", "Modelo", "Model", "Cor", "Color"]
