@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from stallmark.llm.kernels import Words, free, grams, ragged, signed, slices, sliding_min, span_hashes
 from stallmark.llm.scratch import materialize
+from stallmark.llm.sketches import Filter, fill
 
 #: Windows of one stretch at most; cutting longer ones (endless repetition) keeps contents short.
 STRETCH = 256
@@ -171,6 +172,17 @@ def _contents(length: int):
     return run
 
 
+def _met(may):
+    """Only the rows whose document may be wanted, so that other texts are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Filter = may.value
+        for b in batches:
+            yield b.filter(pa.array(known(b.column(0).to_numpy(zero_copy_only=False))))
+
+    return run
+
+
 def _match(length: int):
     """Rows (f, part, role, c, n, low, high, words), sorted; role 0 builds, 1 streams, 2 does both."""
 
@@ -232,11 +244,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, anchor: int = 5, shard: in
     many = contents.groupBy("f").agg(F.count("*").alias("k")).where("k > 1")
     contents = contents.join(many, "f", "left").select("f", "c", "n", "low", "high", F.coalesce("k", F.lit(1)).alias("k"))
     contents = materialize(contents, "stretches-contents")
-    known = met.join(contents, ["f", "c", "n"])
+    known = materialize(met.join(contents, ["f", "c", "n"]), "stretches-known")
     alone = known.where("k = 1 and low < doc").select("doc", "of_text", F.col("start").alias("lo"), (F.col("start") + F.col("n") + length - 1).alias("hi"))
     several = contents.where("k > 1")
     wanted = known.where("k > 1 and doc = low").groupBy("doc").agg(F.collect_list(F.struct("of_text", "start", "f", "c", "n")).alias("wanted"))
-    words = rows.join(wanted, "doc").select("text", "wanted").mapInArrow(_contents(length), "f long, c long, n int, words array<long>")
+    wanted = materialize(wanted, "stretches-wanted")
+    may = docs.sparkSession.sparkContext.broadcast(fill(wanted.select("doc")))
+    words = rows.mapInArrow(_met(may), "doc long, text string").join(wanted, "doc").select("text", "wanted").mapInArrow(_contents(length), "f long, c long, n int, words array<long>")
     words = words.join(several, ["f", "c", "n"]).withColumn("parts", F.ceil(F.col("k") / shard).cast("int"))
     role = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("part"), F.lit(2).alias("role")))).otherwise(
         F.concat(F.array(F.struct(F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"))), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("role"))))
@@ -244,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, anchor: int = 5, shard: in
     dealt = words.withColumn("r", F.explode(role)).select("f", "r.part", "r.role", "c", "n", "low", "high", "words")
     dealt = dealt.repartition("f", "part").sortWithinPartitions("f", "part", "role")
     found = dealt.mapInArrow(_match(length), "f long, c long, n int, lo int, hi int, low long").distinct()
-    hits = met.join(found, ["f", "c", "n"]).where("low < doc").select("doc", "of_text", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + length).alias("hi"))
+    hits = known.where("k > 1").drop("low").join(found, ["f", "c", "n"]).where("low < doc").select("doc", "of_text", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + length).alias("hi"))
     return alone.unionByName(hits).groupBy("doc").agg(F.collect_list(F.struct("of_text", "lo", "hi")).alias("spans"))
 
 
