@@ -100,7 +100,10 @@ def _prefixes(k: int, frequent, percent: int):
     return run
 
 
-def _entries(shared):
+def _entries(shared, percent: int):
+    """Entries of the prefix shingles that more than one document may have. A partner has 0.8 n shingles or more and
+    asks for MATCHES[0] matches, or what so small a set can; documents with fewer entries give none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may: Filter = shared.value
         for b in batches:
@@ -108,6 +111,9 @@ def _entries(shared):
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             hit = may(tokens)
+            n = b.column(1).to_numpy()
+            least = np.maximum(1, np.minimum(MATCHES[0], n * percent * percent // 10000))
+            hit &= (np.bincount(row, hit, b.num_rows) >= least)[row]
             kept = b.select(["doc", "n", "s", "s2", "ell", "p"]).take(pa.array(row[hit]))
             yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), *kept.columns], ["token", "doc", "n", "s", "s2", "ell", "p"])
 
@@ -170,10 +176,10 @@ def prune(entries: DataFrame, percent: int, rounds: int) -> DataFrame:
     for _ in range(rounds):
         token = entries.groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("p")).alias("rest"), F.min("group").alias("a"), F.max("group").alias("z"))
         token = token.where("a < z").drop("a", "z")
-        rows = entries.drop("hits").join(token, "token").where(F.col("lo") * percent <= F.col("n") * 100).where(F.col("n") * percent <= F.col("hi") * 100)
+        rows = entries.drop("hits", "asked").join(token, "token").where(F.col("lo") * percent <= F.col("n") * 100).where(F.col("n") * percent <= F.col("hi") * 100)
         smallest = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100))
         needs = rows.withColumn("need", least_matches("", "", "", percent, smallest, F.least(F.col("rest"), F.ceil(F.col("n") * 100 / percent))))
-        able = needs.groupBy("doc", "s").agg(F.array_sort(F.collect_list("need")).alias("needs")).where(F.exists(F.transform("needs", lambda x, i: x <= i + 1), lambda x: x)).select("doc", "s", F.size("needs").alias("hits"))
+        able = needs.groupBy("doc", "s").agg(F.array_sort(F.collect_list("need")).alias("needs")).where(F.exists(F.transform("needs", lambda x, i: x <= i + 1), lambda x: x)).select("doc", "s", F.size("needs").alias("hits"), F.get("needs", F.lit(0)).alias("asked"))
         entries = materialize(rows.drop("lo", "hi", "rest").join(able, ["doc", "s"]), "jaccard-pruned")
     return entries
 
@@ -190,6 +196,23 @@ def stars(entries: DataFrame, percent: int) -> DataFrame:
     return best.select(F.col("doc").alias("a"), F.col("s").alias("sa"), F.col("hub.doc").alias("b"), F.col("hub.s").alias("sb"))
 
 
+def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(doc, s, doc_, s_): pairs of two groups that share the matches they ask for.
+
+    Of a document with h entries whose partners ask for m matches or more, any partner has one of the h - m + 1 rarest
+    entries among its own such: only these are joined. The matches of each pair found are then counted in full."""
+    often = entries.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = entries.join(often, "token").groupBy("doc", "s", "n", "p", "ell", "group", "asked").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("own"))
+    ranked = materialize(ranked.withColumn("tokens", F.transform("own", lambda x: x["token"])).drop("own"), "jaccard-ranked")
+    short = ranked.select("doc", "s", "n", "group", F.explode(F.slice("tokens", 1, F.greatest(F.lit(1), F.size("tokens") - F.col("asked") + 1).cast("int"))).alias("token"))
+    other = short.select("token", *(F.col(c).alias(f"{c}_") for c in ("doc", "s", "n", "group")))
+    met = short.join(other, "token").where("doc < doc_ and group <> group_").where(near("n", "n_", percent)).select("doc", "s", "doc_", "s_").distinct()
+    one = ranked.select("doc", "s", "n", "p", "ell", "tokens")
+    two = ranked.select(*(F.col(c).alias(f"{c}_") for c in one.columns))
+    both = met.join(one, ["doc", "s"]).join(two, ["doc_", "s_"])
+    return both.where(F.size(F.array_intersect("tokens", "tokens_")) >= least_matches("n_", "p_", "ell_", percent)).select("doc", "s", "doc_", "s_")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id reachable by links."""
     sc = docs.sparkSession.sparkContext
@@ -201,7 +224,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     classes = materialize(sets.where("n > 0 and doc is not null").groupBy("s", "s2", "n").agg(F.min("doc").alias("rep")), "jaccard-classes")
     met = sets.where("n > 0 and doc is not null").select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     shared = sc.broadcast(fill(met))
-    entries = sets.where("n > 0 and doc is not null").mapInArrow(_entries(shared), "token long, doc long, n long, s long, s2 long, ell int, p long")
+    entries = sets.where("n > 0 and doc is not null").mapInArrow(_entries(shared, percent), "token long, doc long, n long, s long, s2 long, ell int, p long")
     entries = entries.join(classes.withColumnRenamed("rep", "doc"), ["s", "s2", "n", "doc"]).select("token", "doc", "s", "n", "ell", "p").distinct()
     entries = prune(materialize(entries.withColumn("group", F.col("doc")), "jaccard-entries"), percent, 2)
 
@@ -223,9 +246,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         groups = materialize(components(links, "a", "b", "jaccard-groups"), "jaccard-groups")
         placed = entries.drop("group").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
         entries = prune(placed, percent, 2)
-    other = entries.select("token", *(F.col(c).alias(f"{c}_") for c in ("doc", "s", "n", "ell", "p", "group")))
-    pairs = entries.join(other, "token").where("doc < doc_ and group <> group_").where(near("n", "n_", percent))
-    pairs = pairs.groupBy("doc", "s", "n", "p", "ell", "doc_", "s_", "n_", "p_", "ell_").agg(F.count("*").alias("k")).where(F.col("k") >= least_matches("n_", "p_", "ell_", percent))
+    pairs = materialize(open_pairs(entries, percent), "jaccard-candidates")
     bridges = verified(pairs.select(F.col("doc").alias("b"), F.col("s").alias("sb"), F.col("doc_").alias("a"), F.col("s_").alias("sa")), "jaccard-bridges")
     if not bridges.isEmpty():
         groups = components(links.unionByName(bridges), "a", "b", "jaccard-groups")
