@@ -240,15 +240,20 @@ def taken_words(rows: DataFrame, plan: Plan) -> DataFrame:
     return some.drop("from").unionByName(rows.where("size = 0").select("id", "source", "size", F.lit(0).cast("long").alias("taken")))
 
 
-def texts(rows: DataFrame, plan: Plan, text_col: str = "text") -> DataFrame:
-    """Measured rows (with their text in keep) as the mix takes them: one row per row and pass (turn) of which
-    words are taken. A text that is taken whole stays as it is; else it is the words taken, joined by one space.
-    Rows without words stay once, with turn 0."""
+def texts(docs: DataFrame, rows: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents as the mix takes them: the columns of their measured rows, turn and text, one row per row and pass
+    of which words are taken. A text that is taken whole stays as it is; else it is the words taken, joined by one
+    space. Rows without words stay once, with turn 0. Texts are shuffled once, to the spans that are taken of them;
+    rows that repeat an id and a text share it."""
     cols = [c for c in rows.columns if c != "of_text"]
-    pieces = mix(rows.drop(text_col), plan).groupBy("id", "source", "size", "from", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    some = placed(rows).where("size > 0").join(pieces.select("source", "from", "turn", "spans").withColumnRenamed("source", "s").withColumnRenamed("from", "f"), F.col("source").eqNullSafe(F.col("s")) & (F.col("from") == F.col("f")))
-    words = F.split(F.trim(F.regexp_replace(text_col, "[ \t\n\x0B\f\r]+", " ")), " ")
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("_words", s["lo"].cast("int") + 1, (s["hi"] - s["lo"]).cast("int")))), " ")
-    whole = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]) == F.col("size")
-    some = some.withColumn("_words", F.when(~whole, words)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
-    return some.select(*cols, "turn").unionByName(rows.where("size = 0").select(*cols, F.lit(0).cast("long").alias("turn")))
+    keyed = rows.withColumn("_key", F.col("of_text"))
+    taken = mix(keyed, plan).groupBy(*cols, "_key", "from", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans")).drop("from")
+    none = keyed.where("size = 0").select(*cols, "_key", F.lit(0).cast("long").alias("turn"), F.array().cast(dict(taken.dtypes)["_spans"]).alias("_spans"))
+    taken = taken.unionByName(none).withColumn("_doc", F.xxhash64("id", "_key"))
+    every = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("_doc"), F.xxhash64(text_col).alias("_key"), F.col(text_col).cast("string").alias(text_col)).dropDuplicates(["_doc", "_key"])
+    some = taken.join(every, ["_doc", "_key"])
+    words = F.split(F.trim(F.regexp_replace(text_col, "[ \\t\\n\\x0B\\f\\r]+", " ")), " ")
+    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]) == F.col("size")
+    parts = lambda w: F.flatten(F.transform("_spans", lambda s: F.slice(w, s["lo"].cast("int") + 1, (s["hi"] - s["lo"]).cast("int"))))
+    cut = F.array_join(F.transform(F.array(words), parts)[0], " ")
+    return some.select(*cols, "turn", F.when(whole, F.col(text_col)).otherwise(cut).alias(text_col))

@@ -169,7 +169,7 @@ def test_ngram_components(docs):
 
 
 def test_mixing(docs):
-    rows = mixing.measured(docs, keep=["text"])
+    rows = mixing.measured(docs)
     plan = mixing.plan_for(rows, block=32)
     got = [tuple(r) for r in mixing.taken_words(rows, plan).collect()]
     assert sorted(got, key=str) == sorted((tuple(r) for r in mixing.taken_words(rows, plan).collect()), key=str)
@@ -181,8 +181,14 @@ def test_mixing(docs):
     for s, size, target in zip(plan.names, plan.sizes, plan.targets, strict=True):
         assert abs(taken[s] - target) <= 1 and target <= 2 * size
     assert abs(sum(plan.targets) - 1.5 * sum(plan.sizes)) < 1e-6
-    texts = mixing.texts(rows, plan).collect()
+    texts = mixing.texts(docs, rows, plan).collect()
     assert sum(len(split(r.text)) for r in texts) == sum(n for *_, n in got)
+    originals = {(i, t) for i, t, *_ in corpus()}
+    whole = [r for r in texts if len(split(r.text)) == r.size]
+    assert whole and all((r.id, r.text) in originals for r in whole)
+    assert sorted(str(r.id) for r in texts if r.size == 0) == sorted(str(r[0]) for r in corpus() if not split(r[1]))
+    for r in texts:
+        assert any(i == r.id and b" ".join(split(r.text)) in b" ".join(split(t)) or len(split(t)) == r.size for i, t in originals)
 
 
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=8))
