@@ -43,9 +43,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixing.measured(docs, keep=["text", "lang"])
+    rows = materialize(mixing.measured(docs, keep=["lang"]), "mixing-sizes")
     plan = mixing.plan_for(rows)
-    out = mixing.texts(rows, plan)
+    out = mixing.texts(docs, rows, plan)
     return out.select(F.col("id").alias("doc_id"), "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
