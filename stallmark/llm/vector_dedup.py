@@ -2,18 +2,16 @@
 
 Equal vectors form a class (its smallest id stands for it). A class vector, made a unit vector and rotated at random,
 leaves the signs of its components as a code, and the inner product of vector and code as a correction factor; both
-are stored. For another unit vector y, (code . y) / factor estimates the inner product without bias, within
-sqrt((1 - f^2) / f^2 / (d - 1)) times `width`, with high confidence. Pairs whose upper bound reaches the threshold are
-recomputed exactly in double precision, so no link is below it.
+are stored. For another unit vector y, (code . y) / factor estimates the inner product without bias. The angle of code
+and y is at most that of code and vector plus that of vector and y, so a pair that links is never below the bound
+this sets on code . y; pairs that reach it are recomputed exactly in double precision.
 
-Pairs are looked for in cells: every vector joins the `probes` nearest of at most `most_pivots` pivot vectors, taken
-from a sample of that bound; all vectors are indexed. A cell with more than `block` vectors is cut into blocks and
-every two blocks meet in a task of their own, so no group outgrows one. A pair that shares several cells counts in
-the first. Tasks return link counts per vector and one edge per vector to the least vector it hangs together with,
-never the pairs.
-
-Recall against brute force is a matter of the cells: near copies share their nearest pivot unless they lie right
-between pivots, and with several probes hardly ever miss each other (measured in tests/llm and the README).
+Every two classes of one dimension are met, so recall is 1 whatever the size and the number of pivots. Vectors are
+packed into tiles of about `block`: those nearest to one of at most `most_pivots` pivot vectors, cut by hash. Two tiles
+whose centres are further apart than their radii and the angle of the threshold hold no link and are left out; that is
+the only pruning of tiles, and where vectors have no clusters it prunes none and the work grows with the square of the
+table. Tiles are met by a Cartesian product, which shuffles nothing. Tasks return link counts per vector and one edge
+per vector to the least vector it hangs together with, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
 of unequal length are not compared; rows without id have no component and are not kept; rows that repeat an id and
@@ -53,12 +51,17 @@ def estimates(code: np.ndarray, factor: np.ndarray, turned: np.ndarray, width: f
     return got, width * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(d - 1, 1)) + 1e-5
 
 
-def linked(a: np.ndarray, code: np.ndarray, factor: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float, width: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def linked(a: np.ndarray, code: np.ndarray, factor: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of unit vectors a and b with inner product of at least threshold; same: b is a, pairs i < j."""
-    got, half = estimates(code, factor, b @ turn, width)
-    i, j = np.nonzero(got + half[:, None] >= threshold)
+    slack = 1e-6 + 2e-7 * a.shape[1]  # of products in single precision
+    reach = np.cos(np.minimum(np.arccos(np.minimum(factor, 1)) + np.arccos(threshold), np.pi)) - slack
+    got, _ = estimates(code, factor, b @ turn, 0)
+    may = got >= (reach / factor)[:, None]
     if same:
-        i, j = i[i < j], j[i < j]
+        may = np.triu(may, 1)
+    if 32 * np.count_nonzero(may) > may.size:
+        may &= a.astype(np.float32) @ b.T.astype(np.float32) >= threshold - slack
+    i, j = np.nonzero(may)
     keep = np.zeros(len(i), bool)
     for lo in range(0, len(i), 1 << 16):
         s = slice(lo, lo + (1 << 16))
@@ -71,60 +74,71 @@ def _matrix(column: pa.Array, dims: np.ndarray, d: int) -> np.ndarray:
     return np.array([flat[ends[i] - d : ends[i]] for i in np.flatnonzero(dims == d)]).reshape(-1, d)
 
 
-def _index(pivots: dict[int, np.ndarray], probes: int):
-    """(cell, rep, copies, cells, code, factor, v) for each class and each of its cells."""
+def _index(pivots: dict[int, np.ndarray]):
+    """(cell, h, rep, copies, v) for each class: v is its unit vector, cell its dimension and nearest pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = np.diff(b.column(2).offsets.to_numpy())
+            dims = np.diff(b.column(3).offsets.to_numpy())
             for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
-                raw = _matrix(b.column(2), dims, d)
+                at = pa.array(np.flatnonzero(dims == d))
+                raw = _matrix(b.column(3), dims, d)
                 raw = raw / np.abs(raw).max(1, keepdims=True)
                 unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                code, factor = encode(unit, rotation(d))
-                centre = pivots.get(d, np.zeros((1, d)))
-                m = min(probes, len(centre))
-                near = np.sort(np.argsort(-(unit @ centre.T), axis=1, kind="stable")[:, :m], axis=1).astype(np.int64) + (d << 32)
-                rep, copies = (b.column(i).take(pa.array(at)) for i in (0, 1))
-                rows = np.repeat(np.arange(len(at)), m)
-                cells = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), m).cast(pa.list_(pa.int64()))
+                near = np.argmax(unit @ pivots.get(d, np.zeros((1, d))).T, axis=1).astype(np.int64) + (d << 32)
                 units = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), d).cast(pa.list_(pa.float64()))
-                packed = pa.array([c.tobytes() for c in code], pa.binary())
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), rep.take(take), copies.take(take), cells.take(take), packed.take(take), pa.array(factor[rows]), units.take(take)], ["cell", "rep", "copies", "cells", "code", "factor", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near), *(b.column(i).take(at) for i in range(3)), units], ["cell", "h", "rep", "copies", "v"])
 
     return run
 
 
-def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest value that rows of a and b share; they share one."""
-    out = np.empty(len(a), np.int64)
-    for lo in range(0, len(a), 1 << 16):
-        s = slice(lo, lo + (1 << 16))
-        same = (a[s][:, :, None] == b[s][:, None, :]).any(2)
-        out[s] = np.where(same, a[s], np.iinfo(np.int64).max).min(1)
-    return out
-
-
-def _compare(threshold: float, width: float):
-    """Sorted rows (cell, i, j, side, ...) to (a, n, b): n links (weighted by copies) of a, or an edge a - b."""
-
-    def meet(cell: int, same: bool, rows: list[tuple]) -> Iterator[tuple]:
-        side, rep, copies, cells, code, factor, v = zip(*rows, strict=True)
-        side, rep, copies = np.array(side), np.array(rep), np.array(copies)
-        cells, v, factor = np.array(cells), np.array(v), np.array(factor)
-        code = np.frombuffer(b"".join(code), np.uint8).reshape(len(rep), -1)
-        ia = np.flatnonzero(side == 0)
-        ib = ia if same else np.flatnonzero(side == 1)
-        if not len(ia) or not len(ib):
-            return
-        i, j = linked(v[ia], code[ia], factor[ia], v[ib], rotation(v.shape[1]), threshold, width, same)
-        i, j = ia[i], ib[j]
-        own = _first_common(cells[i], cells[j]) == cell
-        i, j = i[own], j[own]
+def _tiles(pivots: dict[int, np.ndarray]):
+    """Sorted rows (cell, part, rep, copies, v) to a row a tile: its centre, its radius as an angle, and its columns."""
+
+    def tile(cell: int, part: int, rows: list[tuple]) -> tuple:
+        rep, copies, v = zip(*rows, strict=True)
+        v = np.array(v)
+        d = v.shape[1]
+        code, factor = encode(v, rotation(d))
+        centre = pivots[d][cell & 0xFFFFFFFF] if d in pivots else np.zeros(d)
+        radius = float(np.arccos(np.clip(v @ centre, -1, 1)).max()) if d in pivots else np.pi
+        return (d, cell, part, centre, radius, *(x.tobytes() for x in (np.array(rep, np.int64), np.array(copies, np.int64), v, code, factor)))
+
+    def packed(row: tuple) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], TILE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for b in batches:
+            rest = [b.column(x).to_pylist() for x in range(4)] + [[x.values.to_numpy() for x in b.column(4)]]
+            for cell, part, *row in zip(*rest, strict=True):
+                if (cell, part) != key:
+                    if rows:
+                        yield packed(tile(*key, rows))
+                    key, rows = (cell, part), []
+                rows.append(row)
+        if rows:
+            yield packed(tile(*key, rows))
+
+    return run
+
+
+TILE = ["d", "cell", "part", "centre", "radius", "reps", "copies", "units", "codes", "factors"]
+
+
+def _compare(threshold: float):
+    """Pairs of tiles to (a, n, b): n links (weighted by copies) of a, or an edge a - b."""
+
+    def meet(d: int, same: bool, left: list[bytes], right: list[bytes]) -> Iterator[tuple]:
+        sides = [left] if same else [left, right]
+        rep, copies = (np.concatenate([np.frombuffer(x[k], np.int64) for x in sides]) for k in (0, 1))
+        one, two = (np.frombuffer(x[2]).reshape(-1, d) for x in (left, right))
+        factor = np.frombuffer(left[4])
+        i, j = linked(one, np.frombuffer(left[3], np.uint8).reshape(len(factor), -1), factor, two, rotation(d), threshold, same)
         if not len(i):
             return
+        j = j if same else j + len(one)
         links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
         root = rep.copy()
         while True:
@@ -138,21 +152,14 @@ def _compare(threshold: float, width: float):
             yield int(rep[x]), int(links[x]), int(root[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        out = []
         for b in batches:
-            cell, i, j = (b.column(x).to_pylist() for x in range(3))
-            rest = [b.column(x).to_pylist() for x in range(3, 9)] + [[x.values.to_numpy() for x in b.column(9)]]
-            for n, row in enumerate(zip(*rest, strict=True)):
-                if (cell[n], i[n], j[n]) != key:
-                    if rows:
-                        out += meet(key[0], key[1] == key[2], rows)
-                    key, rows = (cell[n], i[n], j[n]), []
-                rows.append(row)
-            if len(out) > 8192:
-                yield _triples(out)
-                out = []
-        if rows:
-            out += meet(key[0], key[1] == key[2], rows)
+            for n in range(b.num_rows):
+                d, same, *rest = (x[n].as_py() for x in b.columns)
+                out += meet(d, same, rest[:5], rest[5:])
+                if len(out) > 8192:
+                    yield _triples(out)
+                    out = []
         if out:
             yield _triples(out)
 
@@ -177,7 +184,7 @@ def pick_pivots(sample: list[list[float]], classes: int, per_cell: int, threshol
     return {d: np.array(x) for d, x in out.items()}
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, width: float = 4.0, probes: int = 3, per_cell: int = 256, most_pivots: int = 2048, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_cell: int = 256, most_pivots: int = 2048, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -186,15 +193,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, width: float = 4.0,
     classes = materialize(rows.where("ok").groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "vector-classes")
     total = classes.count()
     sample = [r.v for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(most_pivots).select("v").collect()]
-    pivots = pick_pivots(sample, total, per_cell, threshold)
-    index = classes.select("rep", "copies", "v").mapInArrow(_index(pivots, probes), "cell long, rep long, copies long, cells array<long>, code binary, factor double, v array<double>")
+    pivots = pick_pivots(sample, total, max(per_cell, block), threshold)
+    index = classes.select("h", "rep", "copies", "v").mapInArrow(_index(pivots), "cell long, h long, rep long, copies long, v array<double>")
     index = materialize(index, "vector-index")
-    blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # a row per pivot
-    dealt = index.join(F.broadcast(blocks), "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "copies", "cells", "code", "factor", "v")
-    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = materialize(dealt.mapInArrow(_compare(threshold, width), "a long, n long, b long"), "vector-links")
+    parts = index.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))  # a row per pivot
+    dealt = index.join(F.broadcast(parts), "cell").select("cell", F.pmod("h", "parts").alias("part"), "rep", "copies", "v")
+    dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
+    tiles = dealt.mapInArrow(_tiles(pivots), "d long, cell long, part long, centre array<double>, radius double, reps binary, copies binary, units binary, codes binary, factors binary")
+    tiles = materialize(tiles, "vector-tiles")
+    other = tiles.select(*(F.col(c).alias(f"{c}_") for c in TILE))
+    cosine = F.aggregate(F.zip_with("centre", "centre_", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    due = (F.struct("cell", "part") <= F.struct("cell_", "part_")) & (apart <= F.col("radius") + F.col("radius_") + float(np.arccos(threshold)) + 1e-6)
+    pairs = tiles.hint("shuffle_replicate_nl").join(other, (F.col("d") == F.col("d_")) & due)
+    pairs = pairs.select("d", ((F.col("cell") == F.col("cell_")) & (F.col("part") == F.col("part_"))).alias("same"), *TILE[5:], *(f"{c}_" for c in TILE[5:]))
+    found = materialize(pairs.mapInArrow(_compare(threshold), "a long, n long, b long"), "vector-links")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(found.where("a <> b"), "a", "b", "vector-groups").withColumnRenamed("node", "rep")
     known = classes.select("h", "h2", "rep", "copies").join(links, "rep", "left").join(groups, "rep", "left")

@@ -86,6 +86,33 @@ def test_recall_at_the_threshold():
     assert met.mean() >= 0.9
 
 
+@pytest.mark.parametrize("pivots", [1, 300])
+def test_all_pairs_at_the_threshold_are_found(spark, pivots):
+    r = np.random.default_rng(6)
+    a = r.standard_normal((2400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise = r.standard_normal(a.shape)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    b = 0.9000001 * a + np.sqrt(1 - 0.9000001**2) * noise
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    size = len(rows) // pivots
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(table, per_cell=size, block=size).collect()}
+    assert got == {i: (1, i % 2400) for i in range(4800)}
+
+
+def test_far_tiles_are_left_out_and_near_ones_met(spark):
+    r = np.random.default_rng(7)
+    heads = np.linalg.qr(r.standard_normal((32, 32)))[0][:6]
+    x = np.concatenate([h + 0.07 * r.standard_normal((60, 32)) for h in heads])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(table, per_cell=40, block=40).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+
+
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.exact_top_k(none, F.lit(True)).count() == 0 and vector_dedup.near_vectors(none).count() == 0
