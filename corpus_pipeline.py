@@ -5,7 +5,7 @@ documents. run() writes each stage's result to the shared folder as Parquet and
 lost executor repeats one stage at most.
 
 * quality_classifier: learns from the labels that may teach and drops documents it predicts to be of quality 0.
-* line_dedup: removes lines that an equal or nearly equal line precedes. A document that had words and keeps none
+* line_dedup: removes lines, of any length, that an equal or nearly equal line precedes. A document that had words and keeps none
   goes: an earlier document holds all its lines.
 * ngram_jaccard: keeps one document, that with the smallest id, of each group of near copies; documents without id stay.
 * mixing: takes words of each source to its target; a document taken twice comes twice, one cut to the words taken
@@ -31,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs.select(COLUMNS))
+    out = line_dedup.dedup_lines(docs.select(COLUMNS), min_chars=0)
     kept = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 

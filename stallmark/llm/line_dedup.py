@@ -2,7 +2,7 @@
 
 Lines are compared by their words (white space does not count). A line goes if a line with the same words, or with
 one word changed, added or taken away, stands at an earlier place (document id, line number) of the input. Lines
-under `min_chars` characters always stay; one-word differences count from `near_words` words on.
+under `min_chars` characters always stay (with 0, none is too short: op2 and the pipeline ask for that); one-word differences count from `near_words` words on.
 
 1. Equal lines: the first place of every content, by a partial aggregate.
 2. Candidates: two lines one word apart have equal first halves or equal last halves (of the shorter line's length).

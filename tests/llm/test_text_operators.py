@@ -130,6 +130,18 @@ def test_line_dedup(docs):
     assert near and sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    import corpus_pipeline
+    from stallmark.llm import queries
+
+    rows = [(1, "a\n- x\na\n\nlast"), (2, "\n- x\n}\nown"), (3, " -  x \n\n}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], corpus_pipeline.COLUMNS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: ("a\n- x\n\nlast", 5, 1), 2: ("\n}\nown", 4, 1), 3: ("", 3, 2)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()} == {1: "a\n- x\n\nlast", 2: "\n}\nown"}
+
+
 @given(st.lists(st.integers(0, 2), max_size=7), st.lists(st.integers(0, 2), max_size=7))
 @settings(max_examples=100, deadline=None)
 def test_one_apart_is_the_edit_distance(a, b):
