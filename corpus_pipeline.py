@@ -8,6 +8,7 @@ lost executor repeats one stage at most.
 * line_dedup: removes lines, of any length, that an equal or nearly equal line precedes. A document that had words and keeps none
   goes: an earlier document holds all its lines.
 * ngram_jaccard: keeps one document, that with the smallest id, of each group of near copies; documents without id stay.
+  Every row is judged on its own text: of rows that repeat an id only those go that are near copies of another row.
 * mixing: takes words of each source to its target; a document taken twice comes twice, one cut to the words taken
   has these as its text; one of which nothing is taken goes. n_chars follows the text.
 * packing: the pieces of token sequences, with their ids.
@@ -37,9 +38,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(docs)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    rows = materialize(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    named = rows.where("doc_id is not null")
+    found = ngram_join.jaccard_components(named, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    found = materialize(found.join(named.select("_row", "doc_id"), "_row"), "pipeline-groups")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    gone = found.join(kept, "_row", "left_anti").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,6 +175,18 @@ def test_warc_of_nothing_and_of_other_files(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_near_copies_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    close = text("d").replace("d59", "other")
+    rows = [(5, text("a")), (5, text("b")), (3, text("b")), (7, text("c")), (7, text("c")), (8, text("d")), (8, close), (9, close), (None, text("a")), (None, text("a")), (10, ""), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], corpus_pipeline.COLUMNS).repartition(3)
+    got = corpus_pipeline.ngram_jaccard(spark, docs, "").collect()
+    ids = sorted(((r.doc_id, r.text[:1]) for r in got), key=str)
+    assert ids == sorted([(5, "a"), (3, "b"), (7, "c"), (8, "d"), (None, "a"), (None, "a"), (10, ""), (11, "")], key=str)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from stallmark.llm.scratch import materialize
