@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.llm.kernels import STEP, Words, free, mix, ragged, signed, slices, span_hashes
-from stallmark.llm.scratch import materialize
+from stallmark.llm.scratch import materialize, release, spread_join
 from stallmark.llm.sketches import Filter, fill
 
 U = np.uint64
@@ -175,7 +175,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, i
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     places = materialize(rows.mapInArrow(_places(min_chars), "c long, c2 long, doc long, line int"), "line-places")
     halves = rows.select("text").mapInArrow(_halves(min_chars, near_words), "key long, c long")
-    shared = sc.broadcast(fill(halves.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key")))
+    keys = materialize(halves.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key"), "line-halves")
+    shared = sc.broadcast(fill(keys, keys.count()))
+    release(keys)
     near = rows.mapInArrow(_candidates(min_chars, near_words, shared), "c long, c2 long, doc long, line int, words array<long>")
     near = near.groupBy("c", "c2").agg(F.min(F.struct("doc", "line")).alias("at"), F.any_value("words").alias("words"))
     near = materialize(near.select("c", "c2", "at.doc", "at.line", "words"), "line-candidates")
@@ -191,10 +193,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, i
     other = near.select(F.col("c").alias("d"), F.col("c2").alias("d2"), F.col("words").alias("words_"))
     close = pairs.join(own, ["c", "c2"]).join(other, ["d", "d2"]).select("c", "c2", "words", "words_").mapInArrow(_verify, "c long, c2 long").distinct()
     close = materialize(close.withColumn("near", F.lit(True)), "line-near")
+    release(near, entries)
     first = places.groupBy("c", "c2").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("k"))
-    first = first.join(close, ["c", "c2"], "left").where("k > 1 or near").select("c", "c2", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = places.join(first, ["c", "c2"]).where(F.col("near") | (F.struct("doc", "line") > F.col("at")))
-    return gone.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    first = first.join(close, ["c", "c2"], "left").where("k > 1 or near").select("c", "c2", "at", "k", F.coalesce("near", F.lit(False)).alias("near"))
+    first = materialize(first, "line-first")
+    gone = spread_join(places, first, ["c", "c2"], "k").where(F.col("near") | (F.struct("doc", "line") > F.col("at")))
+    gone = materialize(gone.groupBy("doc").agg(F.collect_set("line").alias("lines")), "line-gone")
+    release(places, close, first)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -249,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, anchor: int = 5, shard: in
     several = contents.where("k > 1")
     wanted = known.where("k > 1 and doc = low").groupBy("doc").agg(F.collect_list(F.struct("of_text", "start", "f", "c", "n")).alias("wanted"))
     wanted = materialize(wanted, "stretches-wanted")
-    may = docs.sparkSession.sparkContext.broadcast(fill(wanted.select("doc")))
+    may = docs.sparkSession.sparkContext.broadcast(fill(wanted.select("doc"), wanted.count()))
     words = rows.mapInArrow(_met(may), "doc long, text string").join(wanted, "doc").select("text", "wanted").mapInArrow(_contents(length), "f long, c long, n int, words array<long>")
     words = words.join(several, ["f", "c", "n"]).withColumn("parts", F.ceil(F.col("k") / shard).cast("int"))
     role = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("part"), F.lit(2).alias("role")))).otherwise(
