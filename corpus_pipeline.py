@@ -23,6 +23,7 @@ from stallmark.llm import line_dedup, mixing, ngram_join, packing, quality
 from stallmark.llm.scratch import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +34,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs.select(COLUMNS), min_chars=0)
-    kept = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialize(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    named = rows.where("doc_id is not null")
-    found = ngram_join.jaccard_components(named, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    found = materialize(found.join(named.select("_row", "doc_id"), "_row"), "pipeline-groups")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    gone = found.join(kept, "_row", "left_anti").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
+    found = ngram_join.jaccard_rows(docs.select(COLUMNS)).where("doc = component and of_text = keeper")
+    keep = materialize(found.groupBy("doc", "of_text").agg(F.count("*").alias("copies")), "pipeline-keep")
+    rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_of_text"))
+    in_group = F.col("_doc").isNotNull() & F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    kept = lambda copies: rows.where(in_group).join(keep.where(copies).select(F.col("doc").alias("_doc"), F.col("of_text").alias("_of_text")), ["_doc", "_of_text"])
+    repeated = kept("copies > 1").dropDuplicates(["_doc", "_of_text"])
+    return rows.where(~in_group).select(COLUMNS).unionByName(kept("copies = 1").select(COLUMNS)).unionByName(repeated.select(COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
