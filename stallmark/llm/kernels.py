@@ -44,6 +44,23 @@ def _inverse(odd: int) -> int:
 POW, INV = _powers(BASE, CHUNK), _powers(U(_inverse(BASE)), CHUNK)
 
 
+def segment_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each buf[start:end]; starts and ends ascend."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(out):
+        lo = start[i]
+        j = max(int(np.searchsorted(end, lo + CHUNK, "right")), i + 1)
+        hi = end[j - 1]
+        pw, inv = (POW, INV) if hi - lo <= CHUNK else (_powers(BASE, hi - lo), _powers(U(_inverse(BASE)), hi - lo))
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((buf[lo:hi].astype(np.uint64) + U(1)) * pw[: hi - lo], out=total[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = (total[e] - total[s]) * inv[s]
+        i = j
+    return mix(out ^ (end - start).astype(np.uint64) * STEP)
+
+
 class Words:
     """The words of a string array: byte buffer, begin and end of each word, and the first word of each text."""
 
@@ -71,19 +88,7 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(len(self), np.uint64)
-        i = 0
-        while i < len(out):
-            lo = self.start[i]
-            j = max(int(np.searchsorted(self.end, lo + CHUNK, "right")), i + 1)
-            hi = self.end[j - 1]
-            pw, inv = (POW, INV) if hi - lo <= CHUNK else (_powers(BASE, hi - lo), _powers(U(_inverse(BASE)), hi - lo))
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((self.buf[lo:hi].astype(np.uint64) + U(1)) * pw[: hi - lo], out=total[1:])
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            out[i:j] = (total[e] - total[s]) * inv[s]
-            i = j
-        return mix(out ^ (self.end - self.start).astype(np.uint64) * STEP)
+        return segment_hashes(self.buf, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
