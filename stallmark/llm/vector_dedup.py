@@ -6,12 +6,17 @@ are stored. For another unit vector y, (code . y) / factor estimates the inner p
 and y is at most that of code and vector plus that of vector and y, so a pair that links is never below the bound
 this sets on code . y; pairs that reach it are recomputed exactly in double precision.
 
-Every two classes of one dimension are met, so recall is 1 whatever the size and the number of pivots. Vectors are
-packed into tiles of about `block`: those nearest to one of at most `most_pivots` pivot vectors, cut by hash. Two tiles
-whose centres are further apart than their radii and the angle of the threshold hold no link and are left out; that is
-the only pruning of tiles, and where vectors have no clusters it prunes none and the work grows with the square of the
-table. Tiles are met by a Cartesian product, which shuffles nothing. Tasks return link counts per vector and one edge
-per vector to the least vector it hangs together with, never the pairs.
+Candidates: further randomised rotations give every class `tables` keys of `bits` sign bits. Vectors at angle t agree in a bit
+with probability 1 - t / pi, so a pair at the threshold meets in one table or more with probability
+1 - (1 - (1 - t / pi) ** bits) ** tables; `bits` grows with the logarithm of the table, so that a bucket of unrelated vectors
+stays near `block`, and `tables` follows from the recall asked for (0.98 at the threshold, more above it). Work and
+shuffle grow as N ** 1.2 at 0.9, not as N squared. With recall=1 there are no bits: every two tiles of one dimension are met,
+the exact way, whose work grows with the square.
+
+A bucket above `block` is cut into tiles by hash, and each pair of its tiles is a task's group of 2 * block rows at most, so a
+bucket with a third of all rows is many bounded groups. A pair counts in the first table alone in which its keys
+agree. Tasks return link counts per vector and one edge per vector to the least vector it hangs together with, never
+the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
 of unequal length are not compared; rows without id have no component and are not kept; rows that repeat an id and
@@ -22,6 +27,7 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.llm.graph import components
-from stallmark.llm.scratch import materialize
+from stallmark.llm.kernels import mix, signed
+from stallmark.llm.scratch import materialize, release, spread_join
 
 
 def rotation(d: int, seed: int = 23) -> np.ndarray:
@@ -69,78 +76,76 @@ def linked(a: np.ndarray, code: np.ndarray, factor: np.ndarray, b: np.ndarray, t
     return i[keep], j[keep]
 
 
-def _matrix(column: pa.Array, dims: np.ndarray, d: int) -> np.ndarray:
+def plan_tables(classes: int, block: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(bits, tables) for so many classes; (0, 1), every pair, where that is as good or recall is 1."""
+    bits = max(0, ceil(log(max(classes, 1) / block, 2)))
+    if not bits or recall >= 1:
+        return 0, 1
+    agree = (1 - acos(min(max(threshold, -1.0), 1.0)) / pi) ** bits
+    return bits, max(1, ceil(log(1 - recall) / log(1 - agree)))
+
+
+def table_keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The key of each unit vector in each table, as longs that differ by table and dimension."""
+    n, d = unit.shape
+    turns = -(-bits * tables // d)
+    signs = np.concatenate([unit @ rotation(d, 101 + i) >= 0 for i in range(turns)], axis=1) if turns else np.zeros((n, 0), bool)
+    key = np.empty((n, tables), np.uint64)
+    for t in range(tables):
+        h = np.full(n, (d << 20) + t, np.uint64)
+        for bit in signs[:, t * bits : (t + 1) * bits].T:
+            h = mix(h * np.uint64(2) + bit)
+        key[:, t] = mix(h)
+    return signed(key)
+
+
+def units(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, rows, unit vectors) of a column of lists, by dimension."""
+    dims = np.diff(column.offsets.to_numpy())
     flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
-    return np.array([flat[ends[i] - d : ends[i]] for i in np.flatnonzero(dims == d)]).reshape(-1, d)
+    for d in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == d)
+        raw = flat[(ends[at] - d)[:, None] + np.arange(d)]
+        raw = raw / np.abs(raw).max(1, keepdims=True)
+        yield d, at, raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _index(pivots: dict[int, np.ndarray]):
-    """(cell, h, rep, copies, v) for each class: v is its unit vector, cell its dimension and nearest pivot."""
+def _cells(bits: int, tables: int):
+    """(rep, cells) for rows (rep, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = np.diff(b.column(3).offsets.to_numpy())
-            for d in np.unique(dims).tolist():
-                at = pa.array(np.flatnonzero(dims == d))
-                raw = _matrix(b.column(3), dims, d)
-                raw = raw / np.abs(raw).max(1, keepdims=True)
-                unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                near = np.argmax(unit @ pivots.get(d, np.zeros((1, d))).T, axis=1).astype(np.int64) + (d << 32)
-                units = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), d).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(near), *(b.column(i).take(at) for i in range(3)), units], ["cell", "h", "rep", "copies", "v"])
+            for _, at, unit in units(b.column(1)):
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(table_keys(unit, bits, tables).ravel()), tables).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), keys], ["rep", "cells"])
 
     return run
 
 
-def _tiles(pivots: dict[int, np.ndarray]):
-    """Sorted rows (cell, part, rep, copies, v) to a row a tile: its centre, its radius as an angle, and its columns."""
-
-    def tile(cell: int, part: int, rows: list[tuple]) -> tuple:
-        rep, copies, v = zip(*rows, strict=True)
-        v = np.array(v)
-        d = v.shape[1]
-        code, factor = encode(v, rotation(d))
-        centre = pivots[d][cell & 0xFFFFFFFF] if d in pivots else np.zeros(d)
-        radius = float(np.arccos(np.clip(v @ centre, -1, 1)).max()) if d in pivots else np.pi
-        return (d, cell, part, centre, radius, *(x.tobytes() for x in (np.array(rep, np.int64), np.array(copies, np.int64), v, code, factor)))
-
-    def packed(row: tuple) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], TILE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for b in batches:
-            rest = [b.column(x).to_pylist() for x in range(4)] + [[x.values.to_numpy() for x in b.column(4)]]
-            for cell, part, *row in zip(*rest, strict=True):
-                if (cell, part) != key:
-                    if rows:
-                        yield packed(tile(*key, rows))
-                    key, rows = (cell, part), []
-                rows.append(row)
-        if rows:
-            yield packed(tile(*key, rows))
-
-    return run
-
-
-TILE = ["d", "cell", "part", "centre", "radius", "reps", "copies", "units", "codes", "factors"]
-
-
-def _compare(threshold: float):
-    """Pairs of tiles to (a, n, b): n links (weighted by copies) of a, or an edge a - b."""
-
-    def meet(d: int, same: bool, left: list[bytes], right: list[bytes]) -> Iterator[tuple]:
-        sides = [left] if same else [left, right]
-        rep, copies = (np.concatenate([np.frombuffer(x[k], np.int64) for x in sides]) for k in (0, 1))
-        one, two = (np.frombuffer(x[2]).reshape(-1, d) for x in (left, right))
-        factor = np.frombuffer(left[4])
-        i, j = linked(one, np.frombuffer(left[3], np.uint8).reshape(len(factor), -1), factor, two, rotation(d), threshold, same)
+def _compare(threshold: float, bits: int, tables: int):
+    """Rows (cell, lo, hi, part, t, rep, copies, v), sorted, to (a, n, b): n links (weighted by copies) of a, or an edge
+    a - b. A group (cell, lo, hi) holds one tile or two."""
+
+    def meet(t: int, split: int, rep: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> Iterator[tuple]:
+        same = split == len(rep)
+        turn = rotation(unit.shape[1])
+        code, factor = encode(unit[:split], turn)
+        i, j = linked(unit[:split], code, factor, unit if same else unit[split:], turn, threshold, same)
+        j = j if same else j + split
+        if t and len(i):
+            keys = table_keys(unit, bits, t)
+            mine = np.ones(len(i), bool)
+            for s in range(t):
+                mine &= keys[i, s] != keys[j, s]
+            i, j = i[mine], j[mine]
         if not len(i):
             return
-        j = j if same else j + len(one)
         links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-        root = rep.copy()
+        root = np.arange(len(rep))
+        order = np.argsort(rep)
+        rank = np.empty(len(rep), np.int64)
+        rank[order] = root
+        root = rank.copy()
         while True:
             low = np.minimum(root[i], root[j])
             was = root.copy()
@@ -149,17 +154,31 @@ def _compare(threshold: float):
             if (was == root).all():
                 break
         for x in np.flatnonzero(links):
-            yield int(rep[x]), int(links[x]), int(root[x])
+            yield int(rep[x]), int(links[x]), int(rep[order[root[x]]])
+
+    def group(rows: list[tuple], lo: int, hi: int) -> Iterator[tuple]:
+        part, t, rep, copies, v = zip(*rows, strict=True)
+        split = sum(p == part[0] for p in part)
+        if lo != hi and split == len(part):
+            return  # the other tile is empty
+        yield from meet(t[0], split, np.array(rep, np.int64), np.array(copies, np.int64), next(units(pa.array(v, pa.list_(pa.float64()))))[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        key, rows, out = None, [], []
         for b in batches:
-            for n in range(b.num_rows):
-                d, same, *rest = (x[n].as_py() for x in b.columns)
-                out += meet(d, same, rest[:5], rest[5:])
-                if len(out) > 8192:
-                    yield _triples(out)
-                    out = []
+            cells = [b.column(x).to_pylist() for x in range(7)]
+            vectors = [x.values.to_numpy() for x in b.column(7)]
+            for cell, lo, hi, *row in zip(*cells, vectors, strict=True):
+                if (cell, lo, hi) != key:
+                    if rows:
+                        out += group(rows, *key[1:])
+                    key, rows = (cell, lo, hi), []
+                    if len(out) > 8192:
+                        yield _triples(out)
+                        out = []
+                rows.append(row)
+        if rows:
+            out += group(rows, *key[1:])
         if out:
             yield _triples(out)
 
@@ -170,47 +189,30 @@ def _triples(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "n", "b"])
 
 
-def pick_pivots(sample: list[list[float]], classes: int, per_cell: int, threshold: float) -> dict[int, np.ndarray]:
-    """Unit vectors of the sample, no two above the threshold, as many per dimension as classes / per_cell."""
-    out: dict[int, list[np.ndarray]] = {}
-    want = max(1, classes // per_cell)
-    for v in sample:
-        x = np.array(v)
-        x = x / np.abs(x).max()
-        x = x / np.linalg.norm(x)
-        have = out.setdefault(len(x), [])
-        if len(have) < want and (not have or np.max(np.array(have) @ x) < threshold):
-            have.append(x)
-    return {d: np.array(x) for d, x in out.items()}
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_cell: int = 256, most_pivots: int = 2048, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite, F.lit(False)))
     rows = rows.select("id", "ok", F.when(F.col("ok"), F.xxhash64("v")).alias("h"), F.when(F.col("ok"), F.xxhash64(F.lit(7), "v")).alias("h2"), "v")
     classes = materialize(rows.where("ok").groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "vector-classes")
-    total = classes.count()
-    sample = [r.v for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(most_pivots).select("v").collect()]
-    pivots = pick_pivots(sample, total, max(per_cell, block), threshold)
-    index = classes.select("h", "rep", "copies", "v").mapInArrow(_index(pivots), "cell long, h long, rep long, copies long, v array<double>")
-    index = materialize(index, "vector-index")
-    parts = index.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))  # a row per pivot
-    dealt = index.join(F.broadcast(parts), "cell").select("cell", F.pmod("h", "parts").alias("part"), "rep", "copies", "v")
-    dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    tiles = dealt.mapInArrow(_tiles(pivots), "d long, cell long, part long, centre array<double>, radius double, reps binary, copies binary, units binary, codes binary, factors binary")
-    tiles = materialize(tiles, "vector-tiles")
-    other = tiles.select(*(F.col(c).alias(f"{c}_") for c in TILE))
-    cosine = F.aggregate(F.zip_with("centre", "centre_", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
-    due = (F.struct("cell", "part") <= F.struct("cell_", "part_")) & (apart <= F.col("radius") + F.col("radius_") + float(np.arccos(threshold)) + 1e-6)
-    pairs = tiles.hint("shuffle_replicate_nl").join(other, (F.col("d") == F.col("d_")) & due)
-    pairs = pairs.select("d", ((F.col("cell") == F.col("cell_")) & (F.col("part") == F.col("part_"))).alias("same"), *TILE[5:], *(f"{c}_" for c in TILE[5:]))
-    found = materialize(pairs.mapInArrow(_compare(threshold), "a long, n long, b long"), "vector-links")
+    bits, tables = plan_tables(classes.count(), block, threshold, recall)
+    cells = classes.select("h", "v").mapInArrow(_cells(bits, tables), "rep long, cells array<long>")
+    cells = materialize(cells.select(F.col("rep").alias("h"), F.posexplode("cells").alias("t", "cell")), "vector-cells")
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    placed = cells.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("h", "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "t")
+    dealt = placed.join(classes.select("h", "rep", "copies", "v"), "h").select("cell", "lo", "hi", "part", "t", "rep", "copies", "v")
+    dealt = dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "part")
+    found = materialize(dealt.mapInArrow(_compare(threshold, bits, tables), "a long, n long, b long"), "vector-links")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(found.where("a <> b"), "a", "b", "vector-groups").withColumnRenamed("node", "rep")
     known = classes.select("h", "h2", "rep", "copies").join(links, "rep", "left").join(groups, "rep", "left")
-    known = known.select("h", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "h", "h2").join(known, ["h", "h2"], "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    known = known.select("h", "h2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    known = materialize(known, "vector-known")
+    release(classes, cells, found)
+    narrow = rows.select("id", "h", "h2")
+    met = spread_join(narrow.where("h is not null"), known, ["h", "h2"], "copies").select("id", "n_links", F.col("component").alias("component_id"))
+    out = met.unionByName(narrow.where("h is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
