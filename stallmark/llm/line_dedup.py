@@ -1,8 +1,10 @@
 """Removal of lines that an equal or nearly equal line precedes.
 
 Lines are compared by their words (white space does not count). A line goes if a line with the same words, or with
-one word changed, added or taken away, stands at an earlier place (document id, line number) of the input. Lines
-under `min_chars` characters always stay (with 0, none is too short: op2 and the pipeline ask for that); one-word differences count from `near_words` words on.
+one word changed, added or taken away, stands at an earlier place (document id, line number) of the input. Equal
+lines count whatever their length; one word counts from `near_words` words on, five being where the similarity of the lines
+is 0.8. Longer lines that differ by more than one word stay: variants without two words grow with the square
+of the line. With `min_chars` above 0, shorter lines always stay.
 
 1. Equal lines: the first place of every content, by a partial aggregate.
 2. Candidates: two lines one word apart have equal first halves or equal last halves (of the shorter line's length).
@@ -26,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from stallmark.llm.kernels import STEP, Words, free, mix, ragged, signed, slices, span_hashes
+from stallmark.llm.kernels import STEP, Words, mix, plain, ragged, signed, slices, span_hashes
 from stallmark.llm.scratch import materialize, release, spread_join
 from stallmark.llm.sketches import Filter, fill
 
@@ -169,7 +172,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_removed"])
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = 0, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lines): the numbers of the lines to remove."""
     sc = docs.sparkSession.sparkContext
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -203,13 +206,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, i
     return gone
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, near_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 0, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines left as text, and n_lines and n_removed."""
-    text, doc, lines = (free(n, docs.columns) for n in ("_text", "_doc", "_lines"))
-    gone = repeated_lines(docs, min_chars, near_words, id_col, text_col).withColumnsRenamed({"doc": doc, "lines": lines})
-    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    rows = docs.select(*rest, F.col(text_col).cast("string").alias(text))
-    rows = rows.join(gone, F.col(id_col).cast("long") == F.col(doc), "left").select(*rest, text, lines)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + f", `{text}` string, n_lines long, n_removed long"
-    out = rows.mapInArrow(_cut, schema).withColumnRenamed(text, text_col)
-    return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+    rows, names, columns = plain(docs, id_col, text_col, ("n_lines", "n_removed"))
+    gone = repeated_lines(rows, min_chars, near_words, "id", "text")
+    rest = [c for c in columns if c != "text"]
+    joined = rows.join(gone, F.col("id").cast("long") == F.col("doc"), "left").select(*rest, "text", "lines")
+    schema = StructType([*rows.select(*rest, "text").schema, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return joined.mapInArrow(_cut, schema).select(*columns, "n_lines", "n_removed").toDF(*names, "n_lines", "n_removed")
