@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -159,9 +161,13 @@ def ragged(values: np.ndarray, lengths: np.ndarray, of: pa.DataType) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, of))
 
 
-def free(name: str, columns: list[str]) -> str:
-    """name, with underscores before it until no column (upper and lower case alike) is called so."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def plain(docs: DataFrame, id_col: str, text_col: str, replaced: tuple[str, ...]) -> tuple[DataFrame, list[str], list[str]]:
+    """docs as id, text (a string) and c0, c1, ..., which no name of theirs can clash with; the names that the result has
+    in the end and the columns that go there. `replaced` are names, in any case, that the result gives anew."""
+    at = {name: next(i for same in (str, str.lower) for i, c in enumerate(docs.columns) if same(c) == same(name)) for name in (id_col, text_col)}
+    given = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    left = [i for i, c in enumerate(docs.columns) if c.lower() not in replaced or i in at.values()]
+    name = {at[id_col]: "id", at[text_col]: "text"}
+    columns = [name.get(i, f"c{i}") for i in left]
+    rows = given.select(*(F.col(f"c{i}").cast("string").alias("text") if c == "text" else F.col(f"c{i}").alias(c) for i, c in zip(left, columns, strict=True)))
+    return rows, [docs.columns[i] for i in left], columns

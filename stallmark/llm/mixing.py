@@ -58,15 +58,17 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
-def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed permutation of range(n): four Feistel rounds on the next power of four, walked until inside."""
+def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A keyed permutation of range(n), or its inverse: four Feistel rounds on the next power of four, walked until
+    inside."""
     half = max(1, -(-max(n - 1, 1).bit_length() // 2))
     low, out, todo = np.uint64((1 << half) - 1), x.astype(np.uint64), np.ones(len(x), bool)
+    keys = [np.uint64((key * 4 + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(4)]
     while todo.any():
         v = out[todo]
         a, b = v >> np.uint64(half), v & low
-        for i in range(4):
-            a, b = b, a ^ (scramble(b + np.uint64((key * 4 + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & low)
+        for k in reversed(keys) if back else keys:
+            a, b = (b ^ (scramble(a + k) & low), a) if back else (b, a ^ (scramble(b + k) & low))
         out[todo] = a << np.uint64(half) | b
         todo[todo] = out[todo] >= n
     return out.astype(np.int64)
@@ -140,7 +142,7 @@ def make_plan(sources: list[tuple], weights: tuple = WEIGHTS, share: float = 1.5
         if not rest:
             full, rest = full - 1, size
         short = size - (n - 1) * block  # the last block of a source has so many words
-        at = int(np.flatnonzero(permute(np.arange(n), n, _key(seed, i, full)) == n - 1)[0]) if n <= 1 << 22 else _place(n, _key(seed, i, full))
+        at = int(permute(np.array([n - 1]), n, _key(seed, i, full), back=True)[0])  # the slot of the short block
         if rest <= at * block:
             need, cut = -(-rest // block), rest - (-(-rest // block) - 1) * block
         elif rest <= at * block + short:
@@ -157,18 +159,9 @@ def _key(seed: int, source: int, turn: int) -> int:
     return (seed * 1_000_003 + source) * 64 + turn
 
 
-def _place(n: int, key: int) -> int:
-    """Where the permutation puts n - 1, by stretches of bounded memory."""
-    for lo in range(0, n, 1 << 20):
-        hit = np.flatnonzero(permute(np.arange(lo, min(lo + (1 << 20), n)), n, key) == n - 1)
-        if len(hit):
-            return lo + int(hit[0])
-    raise AssertionError("a permutation reaches every number")
-
-
 def measured(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, source, size, of_text) of each row, and the columns in keep."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(text_col).alias("of_text"), *(F.col(c) for c in keep or []))
+    """(id, source, size, of_text) of each row, and, if asked for, a struct `kept` of the columns in keep."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(text_col).alias("of_text"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")] if keep else []))
 
 
 def plan_for(rows: DataFrame, **options) -> Plan:

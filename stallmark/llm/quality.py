@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from stallmark.llm.kernels import Words, mix, ragged, slices
 
@@ -164,21 +165,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, "text"):
             x, count = passages(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), ragged(x.ravel(), count * WIDTH, pa.float32())], ["label", "n", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), ragged(x.ravel(), count * WIDTH, pa.float32()), b.column(2)], ["label", "n", "x", "key"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model of labels.label_col; None without labelled documents. Reads `sample` documents at most."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "i").select("label", "text")
-    got = rows.mapInArrow(_features, "label int, n long, x array<float>").toArrow()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "i").select("label", "text", F.xxhash64("i", "text").alias("key"))
+    got = rows.mapInArrow(_features, "label int, n long, x array<float>, key long").toArrow()
     if not got.num_rows:
         return None
     got = got.combine_chunks()
     x = got["x"].chunk(0).flatten().to_numpy().reshape(-1, WIDTH)
     count, label = got["n"].to_numpy(), got["label"].to_numpy().astype(np.float32)
-    order = np.lexsort((x[np.concatenate([[0], np.cumsum(count)[:-1]]), 0], count, label))  # the same whatever order rows came in
+    order = np.lexsort((label, count, got["key"].to_numpy()))  # the same whatever order rows came in
     starts = np.concatenate([[0], np.cumsum(count)])
     rows_of = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in order])
     return fit(x[rows_of], count[order], label[order])
@@ -186,17 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with the columns score and predicted (1 from 0.5 on); they replace columns of these names."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    at = next(i for same in (str, str.lower) for i, c in enumerate(docs.columns) if same(c) == same(text_col))
+    left = [i for i, c in enumerate(docs.columns) if i == at or c.lower() not in ("score", "predicted")]
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(*(F.col(f"c{i}") for i in left), F.col(f"c{at}").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text_col):
-                texts = b.column(b.schema.get_field_index(text_col))
-                s = np.full(b.num_rows, 0.5) if model is None else model.score(*passages(texts))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            for b in slices(whole, "text"):
+                s = np.full(b.num_rows, 0.5) if model is None else model.score(*passages(b.column(b.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", score double, predicted int"
-    return docs.select(*kept).mapInArrow(run, schema)
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(run, schema).toDF(*(docs.columns[i] for i in left), "score", "predicted")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

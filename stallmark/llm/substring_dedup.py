@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stallmark.llm.kernels import Words, free, grams, ragged, signed, slices, sliding_min, span_hashes
-from stallmark.llm.scratch import materialize
+from stallmark.llm.kernels import Words, grams, plain, ragged, signed, slices, sliding_min, span_hashes
+from stallmark.llm.scratch import materialize, release, spread_join
 from stallmark.llm.sketches import Filter, fill
 
 #: Windows of one stretch at most; cutting longer ones (endless repetition) keeps contents short.
@@ -238,15 +239,18 @@ def repeated_spans(docs: DataFrame, length: int = 50, anchor: int = 5, shard: in
     """(doc, spans): for each document the word spans (of_text, lo, hi) that an earlier document holds."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     stretches = materialize(rows.mapInArrow(_stretches(length, anchor), "f long, c long, n int, doc long, of_text long, start int"), "stretches")
-    anchors = stretches.groupBy("f").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("f")
-    met = materialize(stretches.join(anchors, "f"), "stretches-met")
-    contents = met.groupBy("f", "c", "n").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    anchors = stretches.groupBy("f").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.count("*").alias("copies")).where("a < z").select("f", "copies")
+    anchors = materialize(anchors, "stretches-anchors")
+    met = materialize(spread_join(stretches, anchors, ["f"], "copies").drop("copies"), "stretches-met")
+    release(stretches, anchors)
+    contents = met.groupBy("f", "c", "n").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("copies"))
     many = contents.groupBy("f").agg(F.count("*").alias("k")).where("k > 1")
-    contents = contents.join(many, "f", "left").select("f", "c", "n", "low", "high", F.coalesce("k", F.lit(1)).alias("k"))
+    contents = contents.join(many, "f", "left").select("f", "c", "n", "low", "high", "copies", F.coalesce("k", F.lit(1)).alias("k"))
     contents = materialize(contents, "stretches-contents")
-    known = materialize(met.join(contents, ["f", "c", "n"]), "stretches-known")
+    known = materialize(spread_join(met, contents, ["f", "c", "n"], "copies").drop("copies"), "stretches-known")
+    release(met)
     alone = known.where("k = 1 and low < doc").select("doc", "of_text", F.col("start").alias("lo"), (F.col("start") + F.col("n") + length - 1).alias("hi"))
-    several = contents.where("k > 1")
+    several = contents.where("k > 1").drop("copies")
     wanted = known.where("k > 1 and doc = low").groupBy("doc").agg(F.collect_list(F.struct("of_text", "start", "f", "c", "n")).alias("wanted"))
     wanted = materialize(wanted, "stretches-wanted")
     may = docs.sparkSession.sparkContext.broadcast(fill(wanted.select("doc"), wanted.count()))
@@ -288,10 +292,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the text, with n_words, n_removed and kept (the words left, joined by one space)."""
-    spans = repeated_spans(docs, length, id_col=id_col, text_col=text_col, **options)
-    rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
-    text, doc, own = (free(n, docs.columns) for n in ("_text", "_doc", "_spans"))
-    rows = docs.select(*rest, F.col(text_col).cast("string").alias(text))
-    rows = rows.join(spans.withColumnRenamed("doc", doc).withColumnRenamed("spans", own), F.col(id_col).cast("long") == F.col(doc), "left").select(*rest, text, own)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + ", n_words long, n_removed long, kept string"
-    return rows.mapInArrow(_cut, schema)
+    rows, names, columns = plain(docs, id_col, text_col, ("n_words", "n_removed", "kept"))
+    spans = repeated_spans(rows, length, id_col="id", text_col="text", **options)
+    rest = [c for c in columns if c != "text"]
+    joined = rows.join(spans, F.col("id").cast("long") == F.col("doc"), "left").select(*rest, "text", "spans")
+    schema = StructType([*rows.select(*rest).schema, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    return joined.mapInArrow(_cut, schema).toDF(*(n for n, c in zip(names, columns, strict=True) if c != "text"), "n_words", "n_removed", "kept")

@@ -7,7 +7,7 @@ dimensions at a time, heaviest block first. By Cauchy-Schwarz what the unread bl
 survivors compacted. The best k of every group meet in one ranking per query.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part; vectors of unequal
-length are not compared; a query row never meets rows of its own id; of query rows that repeat an id the smallest
+length are not compared; a query row never meets rows of its own id; of sound query rows that repeat an id the smallest
 vector counts; repeated candidate rows each count; fewer than k candidates give fewer rows; an empty table gives no
 rows. Scores beyond the range of a long are clamped to it. Extra columns are ignored.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT = float(1 << 53)
+EXACT, MOST = float(1 << 53), float(np.finfo(np.float64).max)
 
 
 def best_of(ids: np.ndarray, cols: np.ndarray, qid: int, q: np.ndarray, k: int, block: int) -> list[tuple[int, int]]:
@@ -55,14 +55,13 @@ def best_of(ids: np.ndarray, cols: np.ndarray, qid: int, q: np.ndarray, k: int,
     return [(int(ids[alive[i]]), int(score[i])) for i in top]
 
 
-def _whole(column: pa.Array, scale: float) -> list[np.ndarray | None]:
+def _whole(column: pa.Array, scale: float) -> list[np.ndarray]:
+    """The vectors as integers; beyond the range of doubles they are the largest double, of their sign."""
     offsets = column.offsets.to_numpy()
     flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    with np.errstate(invalid="ignore", over="ignore"):
-        flat = np.floor(scale * flat)
-    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
-    null = column.is_null().to_numpy(zero_copy_only=False)
-    return [None if null[i] or bad[offsets[i + 1]] > bad[offsets[i]] else flat[offsets[i] : offsets[i + 1]] for i in range(len(column))]
+    with np.errstate(over="ignore"):
+        flat = np.clip(np.floor(scale * flat), -MOST, MOST)
+    return [flat[offsets[i] : offsets[i + 1]] for i in range(len(column))]
 
 
 def _search(k: int, scale: float, block: int):
@@ -76,8 +75,6 @@ def _search(k: int, scale: float, block: int):
                 if g[i] != group:
                     group, by_dim, ready = g[i], {}, {}
                 v = vectors[i]
-                if v is None:
-                    continue
                 if role[i] == 0:
                     by_dim.setdefault(len(v), ([], []))[0].append(ids[i])
                     by_dim[len(v)][1].append(v)
@@ -96,8 +93,9 @@ def _search(k: int, scale: float, block: int):
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, group_rows: int = 8192, dims_per_block: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query row, ties to the smaller id."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id is not null and v is not null")
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     groups = max(1, -(-vectors.count() // group_rows))
-    candidates = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("role"), "id", "v")
+    candidates = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("role"), "id", "v")
     queries = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("role"), "id", "v")
     cells = candidates.unionByName(queries).repartition("g").sortWithinPartitions("g", "role", "id")
     found = cells.mapInArrow(_search(k, scale, dims_per_block), "query_id long, vec_id long, score long")

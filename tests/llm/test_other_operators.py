@@ -57,8 +57,8 @@ def test_near_vectors(table):
     low = {i: i for i, _ in rows}
     for _ in range(10):
         low = {i: min([low[i], *(low[j] for j in links[i])]) for i in low}
-    for block in (1024, 16):
-        got = vector_dedup.near_vectors(table, per_cell=64, block=block).collect()
+    for options in ({}, {"block": 16, "recall": 1.0}):
+        got = vector_dedup.near_vectors(table, **options).collect()
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (len(links[i]), low[i], low[i] == i) for i in low}
 
 
@@ -72,45 +72,44 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(error.mean()) < 2e-3 and (np.abs(error) > half[:, None]).mean() < 1e-3
 
 
-def test_recall_at_the_threshold():
-    r = np.random.default_rng(2)
-    a = r.standard_normal((2000, 64))
+def planted(n, cosine, seed=6):
+    """n random pairs (i, i + n) of unit vectors with this cosine."""
+    r = np.random.default_rng(seed)
+    a = r.standard_normal((n, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     noise = r.standard_normal(a.shape)
     noise -= (noise * a).sum(1, keepdims=True) * a
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    b = 0.93 * a + np.sqrt(1 - 0.93**2) * noise  # pairs not far above the threshold
-    pivots = vector_dedup.pick_pivots(list(np.concatenate([a[::2], b[1::2]])[:40]), 4000, 256, 0.9)[64]
-    cell = lambda x: np.argsort(-(x @ pivots.T), axis=1)[:, :3]
-    met = (cell(a)[:, :, None] == cell(b)[:, None, :]).any((1, 2))
-    assert met.mean() >= 0.9
+    return [(i, x.tolist()) for i, x in enumerate(np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * noise]))]
 
 
-@pytest.mark.parametrize("pivots", [1, 300])
-def test_all_pairs_at_the_threshold_are_found(spark, pivots):
-    r = np.random.default_rng(6)
-    a = r.standard_normal((2400, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    noise = r.standard_normal(a.shape)
-    noise -= (noise * a).sum(1, keepdims=True) * a
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    b = 0.9000001 * a + np.sqrt(1 - 0.9000001**2) * noise
-    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    size = len(rows) // pivots
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(table, per_cell=size, block=size).collect()}
-    assert got == {i: (1, i % 2400) for i in range(4800)}
+@pytest.mark.parametrize(("classes", "bits"), [(48_000, 6), (2_000_000, 11)])
+def test_recall_at_the_threshold(spark, classes, bits):
+    """At 0.90, with the bits and tables that tables of these sizes get."""
+    block = 1024 * 4800 / classes
+    assert vector_dedup.plan_tables(classes, 1024, 0.9, 0.98)[0] == bits == vector_dedup.plan_tables(4800, block, 0.9, 0.98)[0]
+    table = spark.createDataFrame(planted(2400, 0.9000001), "vec_id long, embedding array<double>")
+    got = vector_dedup.near_vectors(table, block=block).collect()
+    assert sum(r.n_links for r in got) >= 0.95 * 4800
+    assert all(r.n_links <= 1 and r.component_id in (r.vec_id, r.vec_id % 2400) for r in got)
+
+
+def test_every_pair_is_met_with_full_recall(spark):
+    table = spark.createDataFrame(planted(600, 0.9000001), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(table, recall=1.0, block=64).collect()}
+    assert got == {i: (1, i % 600) for i in range(1200)}
 
 
-def test_far_tiles_are_left_out_and_near_ones_met(spark):
+def test_a_hot_bucket_is_cut_into_tiles(spark):
     r = np.random.default_rng(7)
     heads = np.linalg.qr(r.standard_normal((32, 32)))[0][:6]
     x = np.concatenate([h + 0.07 * r.standard_normal((60, 32)) for h in heads])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.9
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(table, per_cell=40, block=40).collect()}
-    assert got == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(table, block=20, recall=0.999).collect()}
+    want = {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.97 * sum(want.values())
 
 
 def test_empty_vectors(spark):

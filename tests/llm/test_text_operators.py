@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from stallmark.llm import kernels, license_scan, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, tokens
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, N_Lines string, Score double, `c``d` string"
 
 
 def corpus():
@@ -37,7 +37,8 @@ def corpus():
         out.append(" ".join(words))
     out += [base, base, base.upper(), "", " \n\t ", "one two", "one two", "ONE two", "x " * 400, None, "Ünï cödé\x0bwörds   here", text(3000)]
     rows = [(i, t, "en", [None, "a", "b", "c"][i % 4] if i % 3 else "hot", len(t or ""), "clash") for i, t in enumerate(out)]
-    return [*rows, (3, rows[3][1], "en", "hot", 1, "again"), (None, base, "en", "hot", 1, "no id")]
+    rows = [*rows, (3, rows[3][1], "en", "hot", 1, "again"), (None, base, "en", "hot", 1, "no id")]
+    return [(*row, "lines", 2.0, "tick") for row in rows]
 
 
 @pytest.fixture(scope="module")
@@ -113,13 +114,13 @@ def test_substring_dedup(docs, shard):
 
 def test_line_dedup(docs):
     rows = [r for r in corpus() if r[0] is not None]
-    lines = [(i, n, tuple(split(x)), x) for i, t, *_ in rows for n, x in enumerate((t or "").split("\n")) if len(x.encode().strip(b" \t\r\x0b\x0c")) >= 10 and split(x)]
+    lines = [(i, n, tuple(split(x)), x) for i, t, *_ in rows for n, x in enumerate((t or "").split("\n")) if split(x)]
     first, near = {}, set()
     for i, n, w, _ in lines:
         first[w] = min(first.get(w, (i, n)), (i, n))
     for w in first:
         for v in first:
-            if w != v and len(w) >= 10 and len(v) >= 10 and first[v] < first[w] and line_dedup.one_apart(list(w), list(v)):
+            if w != v and len(w) >= 5 and len(v) >= 5 and first[v] < first[w] and line_dedup.one_apart(list(w), list(v)):
                 near.add(w)
     gone = defaultdict(set)
     for i, n, w, _ in lines:
@@ -130,6 +131,21 @@ def test_line_dedup(docs):
     assert near and sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_clashing_names(docs):
+    """Names with dots and backticks, and names of the result in other case, pass through or give way."""
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "Score", "c`d", "n_lines", "n_removed"]
+    assert {(r[5], r[6], r[7]) for r in got.collect()} == {("clash", 2.0, "tick"), ("again", 2.0, "tick"), ("no id", 2.0, "tick")}
+    got = substring_dedup.dedup_substrings(docs)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "a.b", "N_Lines", "Score", "c`d", "n_words", "n_removed", "kept"]
+    got = quality.score(docs, None)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "N_Lines", "c`d", "score", "predicted"]
+    assert {r[6] for r in got.collect()} == {"lines"}
+    rows = mixing.measured(docs, keep=["a.b", "n_chars"])
+    assert {tuple(r) for r in rows.select("kept.*").collect()} == {(r[5], r[4]) for r in corpus()}
+    assert mixing.texts(docs, rows, mixing.plan_for(rows, block=32)).select("kept").distinct().count() > 3
+
+
 def test_short_lines_that_repeat_go(spark, tmp_path):
     import corpus_pipeline
     from stallmark.llm import queries
