@@ -33,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs.select(COLUMNS), min_chars=0)
+    out = line_dedup.dedup_lines(docs.select(COLUMNS))
     kept = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
@@ -52,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows = materialize(mixing.measured(docs, keep=["lang"]), "mixing-sizes")
     plan = mixing.plan_for(rows)
     out = mixing.texts(docs, rows, plan)
-    return out.select(F.col("id").alias("doc_id"), "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    return out.select(F.col("id").alias("doc_id"), "text", "kept.lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
