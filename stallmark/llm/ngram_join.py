@@ -13,8 +13,8 @@ A pair needs what the smaller l of the two asks for. The sketch steers cost and
    bound, now without what lies beyond a prefix, drops classes again, twice.
 3. Stars: of every shingle the class with the largest share of met shingles is the centre, and each class is verified
    against the centre most of its shingles have. This joins large groups of near copies with a pair or two for each
-   class. Shingles that lie in one component are dropped, and the bound is applied again. While joining what is open
-   would make more than two rows for each class of the table, further turns draw other centres.
+   class. Shingles that lie in one component are dropped, and the bound is applied again. While that pays and joining
+   what is open would be far from linear in the table, further turns draw other centres.
 4. What is still open is joined by prefixes of the exact order, again lengthened by cost (the frequencies are exact now)
    and with as many more matches asked for before a pair is verified. Pairs inside a component need no test.
 5. Verification counts shared shingles exactly: 100 * intersection >= 80 * union. Shingles that were dropped cannot
@@ -22,7 +22,7 @@ A pair needs what the smaller l of the two asks for. The sketch steers cost and
 
 Shingles and sets are compared by 64-bit hashes. Rows of one class are spread by `spread_join`, so a class with a third
 of all rows is no single task; a centre with many members is one row met by many, which Spark's adaptive execution
-splits. Classes that TURNS turns of stars leave open are joined pair by pair, so no link is lost.
+splits. Classes that the stars leave open are joined pair by pair, so no link is lost.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; under `words` words the
 whole sequence is the one shingle; equal texts always link; rows without id get no component; rows that repeat an id
@@ -41,15 +41,16 @@ from pyspark.sql import functions as F
 
 from stallmark.llm.graph import components
 from stallmark.llm.kernels import Words, grams, mix, ragged, signed, slices, span_hashes
-from stallmark.llm.scratch import materialize, release, spread_join
+from stallmark.llm.scratch import materialize, release, shuffles_end, spread_join
 from stallmark.llm.sketches import Counts, Filter, Frequent, fill
 
 #: Entries of the frequency sketch that all tasks get: 16 bytes each.
 MOST_FREQUENT = 200_000
 #: Matches that prefixes may ask for: so many per cent of the set, LEAST at least; smaller sets ask for what they can.
 LONGER, LEAST = (0, 4, 8, 12), 8
-#: Turns of stars at most, while joining what is open would make more than two rows a class.
-TURNS = 8
+#: Turns of stars at most, while joining what is open would compare more than two rows for each class of the table and the
+#: last turn has linked at least one in WORTH of the open classes.
+TURNS, WORTH = 6, 20
 #: Cost of verifying a candidate in index entries, by texts and by arrays, and other documents that an infrequent shingle
 #: has by chance.
 VERIFY, VERIFY_SETS, CHANCE = 24, 8, 0.1
@@ -256,8 +257,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     return materialize(both.where(F.col("k") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("k")) * percent).select("a", "b"), name)
 
 
-def class_links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of the classes (s, n, p, prefix, doc, of_text) that link with another; component is the least s."""
+def _class_links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     able = materialize(prefix_survivors(classes, percent), "jaccard-able")
     chosen = materialize(classes.select("s", "doc", "of_text").join(able, "s"), "jaccard-chosen")
     known = rows.sparkSession.sparkContext.broadcast(fill(chosen.select("of_text"), chosen.count()))
@@ -285,7 +285,7 @@ def class_links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -
         short = materialize(prefixes(sets), "jaccard-open")
         met = short.groupBy("token").agg(F.count("*").alias("k"), F.count_if(~F.col("large")).alias("others"))
         rows = met.agg(F.sum(F.col("k") * F.col("others"))).first()[0] or 0
-        if rows <= 2 * many or (turn and found.isEmpty()):
+        if rows <= 2 * many or found.count() * WORTH < sets.count():
             break
     last = verified(open_pairs(short, percent), sets, percent, "jaccard-bridges")
     if not last.isEmpty():
@@ -295,6 +295,12 @@ def class_links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -
     return groups
 
 
+def class_links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes (s, n, p, prefix, doc, of_text) that link with another; component is the least s."""
+    with shuffles_end(rows.sparkSession):
+        return _class_links(classes, rows, words, percent)
+
+
 def jaccard_rows(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, of_text, n, component, keeper) of every row that has an id and a set: of_text is xxhash64 of the text, component
     the smallest id reachable by links, and keeper the of_text of one row of this id in the component."""
