@@ -23,6 +23,21 @@ def newest_pool(df: DataFrame, keys: list[str], limit: int = 250) -> DataFrame:
     return df.withColumn("pool_rank", F.row_number().over(order)).where(F.col("pool_rank") <= limit + 1)
 
 
+def pool_pairs(rows: DataFrame, keys: list[str], limit: int = 250) -> DataFrame:
+    """keys, and target and candidate structs of rows with equal keys (null equals null): a target meets the limit newest rows but
+    itself, the candidate's pool_rank numbering them. Rows a key: its own times the limit, whatever its size."""
+    fields = [c for c in rows.columns if c not in keys]
+    on = [f"_{c}" for c in keys]
+    keyed = rows.withColumns({f"_{c}": F.struct(c) for c in keys})
+    newest = newest_pool(keyed, on, limit)
+    t = keyed.join(newest.select("listing_id", F.col("pool_rank").alias("_own")), "listing_id", "left")
+    t = t.select(*on, F.struct(*fields).alias("target"), "_own")
+    pairs = t.join(newest.select(*on, F.struct(*fields, "pool_rank").alias("candidate")), on)
+    place = F.col("candidate.pool_rank") - F.coalesce((F.col("candidate.pool_rank") > F.col("_own")).cast("int"), F.lit(0))
+    pairs = pairs.where((F.col("target.listing_id") != F.col("candidate.listing_id")) & (place <= limit))
+    return pairs.select(*(F.col(f"_{c}")[c].alias(c) for c in keys), "target", F.col("candidate").withField("pool_rank", place).alias("candidate"))
+
+
 def comparable_pairs(targets: DataFrame, pool: DataFrame, analyzer: Analyzer, limit: int = 250) -> DataFrame:
     """target and candidate structs of the pool's pairs that compare. The limit comes before the predicate: a target
     sees the limit newest rows of its category and currency but itself, and of these those that are not damaged and

@@ -144,6 +144,16 @@ def save_analyses(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select(*keys, *(pick(n).alias(n) for n in stored.columns if n not in keys))
 
 
+def reusable(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted (keys, input_hash, ...) with `reused` and, where a stored analysis of equal keys rests on the same input, its
+    other columns; of several the one whose columns sort last. Null hashes are never reused."""
+    on = [*keys, "input_hash"]
+    rest = [c for c in stored.columns if c not in on]
+    one = stored.where("input_hash is not null").groupBy(*on).agg(F.max(F.struct(*rest)).alias("_stored"))
+    found = wanted.join(one, on, "left").withColumn("reused", F.col("_stored").isNotNull())
+    return found.select(*wanted.columns, "reused", *(F.col("_stored")[c].alias(c) for c in rest))
+
+
 def claim(notifications: DataFrame, as_of: datetime, lease_minutes: int = 15) -> DataFrame:
     """Notifications with those that may be sent claimed: pending, failed, or sending under an expired lease become
     sending, one attempt more; `claimed` tells which."""

@@ -69,6 +69,12 @@ def search_reasons() -> Column:
     )
 
 
+def normal_searches(df: DataFrame) -> DataFrame:
+    """Valid definitions as they are stored: text trimmed, providers and forbidden words without repeats, in order."""
+    words = F.array_distinct(F.transform("forbidden_words", lambda w: F.trim(w)))
+    return df.withColumns({"name": F.trim("name"), "query": F.trim("query"), "location": F.trim("location"), "providers": F.array_distinct("providers"), "forbidden_words": words})
+
+
 def trimmed_summary(df: DataFrame) -> DataFrame:
     """Text fields trimmed and the currency in capitals, as valid rows are stored."""
     out = {n: F.trim(n) for n in ("external_id", "title", "location", "url", "image_url") if n in df.columns}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallmark.operators import dedup, filters, matching, reports, state, validation
+from stallmark.operators.comparables import pool_pairs
 from stallmark.plans import views
 from stallmark.schema import SOURCES
 
@@ -134,11 +135,9 @@ SIMILAR_TITLES = f"""WITH t AS (SELECT DISTINCT concat(p_name, ' ', p_type, ' ',
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets and candidates: recent listings of one brand and category, newest first."""
-    r = views.recent(spark, sf_dir).withColumn("pool_rank", F.negate(F.unix_micros(F.col("seen_at").cast("timestamp"))))
-    c = F.struct("listing_id", "source", "title", "location", "price", "pool_rank")
-    t = r.select("brand", "category", c.alias("target"))
-    return t.join(r.select("brand", "category", c.alias("candidate")), ["brand", "category"]).where("target.listing_id <> candidate.listing_id").select("target", "candidate")
+    """Targets and candidates: recent listings and the 250 newest others of their brand and category."""
+    r = views.recent(spark, sf_dir).withColumn("last_seen_at", F.col("seen_at"))
+    return pool_pairs(r.select("brand", "category", "listing_id", "source", "title", "location", "price", "last_seen_at"), ["brand", "category"]).select("target", "candidate")
 
 
 def exclude_cross_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +150,12 @@ def exclude_cross_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy(F.col("target.listing_id").alias("listing_id")).agg(F.count("*").alias("n"))
 
 
-EXCLUDE_CROSS_POSTS = f"""WITH {views.RECENT}, w AS (SELECT listing_id, source, brand, category, price, {_WORDS.format("title")} AS t, {_WORDS.format("location")} AS l FROM recent),
- p AS (SELECT a.listing_id, a.source <> b.source AND CASE WHEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE >= 0.65 THEN 0.5::DOUBLE * (len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE) ELSE 0::DOUBLE END
+_HIT = """a.source <> b.source AND CASE WHEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE >= 0.65 THEN 0.5::DOUBLE * (len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE) ELSE 0::DOUBLE END
  + CASE WHEN abs(a.price - b.price) / nullif(greatest(a.price, b.price), 0) <= 0.03 THEN 0.3::DOUBLE ELSE 0::DOUBLE END
- + CASE WHEN len(a.l) > 0 AND len(b.l) > 0 AND len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))::DOUBLE >= 0.5 THEN 0.2::DOUBLE ELSE 0::DOUBLE END >= 0.7 AS hit
- FROM w a JOIN w b ON a.brand = b.brand AND a.category = b.category AND a.listing_id <> b.listing_id) SELECT listing_id, count(*) AS n FROM p WHERE NOT hit GROUP BY listing_id"""
+ + CASE WHEN len(a.l) > 0 AND len(b.l) > 0 AND len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))::DOUBLE >= 0.5 THEN 0.2::DOUBLE ELSE 0::DOUBLE END >= 0.7"""
+_POOL = f"""w AS (SELECT listing_id, source, brand, category, price, {_WORDS.format("title")} AS t, {_WORDS.format("location")} AS l, row_number() OVER (PARTITION BY brand, category ORDER BY seen_at DESC, listing_id) AS r FROM recent),
+ p AS (SELECT a.listing_id, b.listing_id AS other, b.r - (b.r > a.r)::INT AS pos, {_HIT} AS hit FROM w a JOIN w b ON a.brand = b.brand AND a.category = b.category AND a.listing_id <> b.listing_id AND b.r - (b.r > a.r)::INT <= 250)"""
+EXCLUDE_CROSS_POSTS = f"WITH {views.RECENT}, {_POOL} SELECT listing_id, count(*) AS n FROM p WHERE NOT hit GROUP BY listing_id"
 
 
 def greedy_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +164,13 @@ def greedy_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("target_id").alias("listing_id"), F.size("kept").alias("kept"), F.size("dropped").alias("dropped"))
 
 
+GREEDY_COLLAPSE = f"""WITH RECURSIVE {views.RECENT}, {_POOL}, h AS (SELECT a.listing_id AS other, list(b.listing_id) AS m FROM w a JOIN w b ON a.brand = b.brand AND a.category = b.category AND a.listing_id <> b.listing_id AND b.r <= 251 AND {_HIT} GROUP BY a.listing_id),
+ c AS (SELECT p.listing_id, other, pos, coalesce(m, []) AS m FROM p LEFT JOIN h USING (other)),
+ fold AS (SELECT DISTINCT listing_id, 0::BIGINT AS pos, []::VARCHAR[] AS kept, 0 AS dropped FROM c UNION ALL
+ SELECT f.listing_id, c.pos, CASE WHEN list_has_any(f.kept, c.m) THEN f.kept ELSE list_append(f.kept, c.other) END, f.dropped + list_has_any(f.kept, c.m)::INT FROM fold f JOIN c ON c.listing_id = f.listing_id AND c.pos = f.pos + 1)
+ SELECT listing_id, len(kept)::INT AS kept, dropped::INT AS dropped FROM fold JOIN (SELECT listing_id, max(pos) AS pos FROM c GROUP BY listing_id) USING (listing_id, pos)"""
+
+
 def due_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.search(spark, sf_dir)
     ran = F.lit(views.AS_OF) - F.make_dt_interval(mins=(F.col("search_id") % 100).cast("int"))
@@ -232,18 +239,18 @@ def snapshot(df: DataFrame) -> DataFrame:
 
 
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot of the even lines, some suppressed, after a batch of all lines divisible by three or one more, some
+    """A snapshot of the even lines, some suppressed, after a batch of the odd lines and of half the even ones, some
     of them cheaper: how many of each kind, and what their prices come to."""
     rows = views.listing(spark, sf_dir)
     n = F.col("l_linenumber")
     old = snapshot(rows.where(n % 2 == 0)).withColumn("suppressed_at", F.when(F.col("title").like("%STEEL%"), F.lit(views.AS_OF)))
     cheaper = F.when(F.col("l_orderkey") % 5 == 0, F.col("price") - 1).otherwise(F.col("price"))
-    batch = rows.where((n % 3 == 0) | (n == 2)).select(F.xxhash64("listing_id").alias("seq"), "source", "external_id", "title", cheaper.alias("price"), "currency", "location", "url", F.lit(None).cast("string").alias("image_url"), "category")
+    batch = rows.where((n % 2 == 1) | (n % 4 == 2)).select(F.xxhash64("listing_id").alias("seq"), "source", "external_id", "title", cheaper.alias("price"), "currency", "location", "url", F.lit(None).cast("string").alias("image_url"), "category")
     out = state.upsert_summaries(old, batch, views.AS_OF)
     return out.groupBy("change").agg(F.count("*").alias("n"), F.count("price_point").alias("points"), F.round(F.sum("price"), 2).alias("total"))
 
 
-UPSERT_SNAPSHOT = f"""WITH {views.LISTING}, o AS (SELECT *, title LIKE '%STEEL%' AS gone FROM listing WHERE l_linenumber % 2 = 0), b AS (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN price - 1 ELSE price END AS np FROM listing WHERE l_linenumber % 3 = 0 OR l_linenumber = 2),
+UPSERT_SNAPSHOT = f"""WITH {views.LISTING}, o AS (SELECT *, title LIKE '%STEEL%' AS gone FROM listing WHERE l_linenumber % 2 = 0), b AS (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN price - 1 ELSE price END AS np FROM listing WHERE l_linenumber % 2 = 1 OR l_linenumber % 4 = 2),
  j AS (SELECT CASE WHEN b.listing_id IS NULL THEN NULL WHEN o.listing_id IS NULL THEN 'new' WHEN o.gone THEN 'suppressed' WHEN o.price IS DISTINCT FROM b.np THEN 'changed' ELSE 'same' END AS change, o.price AS op, b.np FROM o FULL JOIN b USING (listing_id))
  SELECT change, count(*) AS n, count(*) FILTER (WHERE change IN ('new', 'changed') AND np IS NOT NULL) AS points, round(sum(CASE WHEN change IN ('new', 'changed', 'same') THEN np ELSE op END), 2) AS total FROM j GROUP BY change"""
 
@@ -262,13 +269,13 @@ SUPPRESS = f"""WITH {views.RECENT} SELECT source, count(*) FILTER (WHERE title L
 def recent_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 200 live listings, each with its newest analysis (an order's line by price)."""
     rows = _matchable(spark, sf_dir).where("active")
-    li = views.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    li = views.table(spark, sf_dir, "lineitem")
     a = li.select(F.concat_ws(":", F.lit("olx"), F.concat(F.lit("id:"), F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber"))).alias("listing_id"), F.col("l_shipdate").alias("created_at"), F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("analysis_id"), F.col("l_quantity").cast("int").alias("score"), F.col("l_returnflag").alias("verdict"))
     return reports.recent_listings(rows, a, 200)
 
 
 RECENT_LISTINGS = f"""WITH {views.LISTING}, top AS (SELECT * FROM listing WHERE active ORDER BY seen_at DESC, listing_id LIMIT 200),
- a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn FROM (SELECT concat('olx:id:', l_orderkey::VARCHAR, '-', l_linenumber::VARCHAR) AS id, * FROM lineitem WHERE l_linenumber <= 3))
+ a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn FROM (SELECT concat('olx:id:', l_orderkey::VARCHAR, '-', l_linenumber::VARCHAR) AS id, * FROM lineitem))
  SELECT top.listing_id, top.source, top.title, top.price, top.location, top.seen_at AS last_seen_at, a.l_quantity::INT AS score, a.l_returnflag AS verdict FROM top LEFT JOIN a ON a.id = top.listing_id AND a.rn = 1"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallmark.operators import scoring, state, statistics
-from stallmark.operators.comparables import newest_pool
+from stallmark.operators.comparables import newest_pool, pool_pairs
 from stallmark.plans import views
 
 _STATS = ["median_price", "mean_price", "min_price", "max_price", "p25", "p75", "p90"]
@@ -36,29 +36,36 @@ def price_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRICE_STATISTICS = f"WITH {views.LISTING} SELECT source, {_STATS_SQL} FROM listing GROUP BY source"
 
 
+def _pairs(spark: SparkSession, sf_dir: str, keys: list[str], *columns: str) -> DataFrame:
+    """Recent listings with the 250 newest others of equal keys."""
+    r = views.recent(spark, sf_dir).withColumn("last_seen_at", F.col("seen_at"))
+    return pool_pairs(r.select(*keys, "listing_id", "last_seen_at", *columns), keys)
+
+
+def _pairs_sql(keys: str, residual: str, result: str) -> str:
+    same = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in keys.split(", "))
+    return f"""WITH {views.RECENT}, w AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY seen_at DESC, listing_id) AS r FROM recent)
+ SELECT a.listing_id, {result} FROM w a JOIN w b ON {same} AND a.listing_id <> b.listing_id AND b.r - (b.r > a.r)::INT <= 250 AND {residual} GROUP BY a.listing_id"""
+
+
 def comparables_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per recent listing, how many others of its brand, category and currency lie within two sizes, and their
-    median price. Rows meet on the keys; only the size is left for the join's residual."""
-    r = views.recent(spark, sf_dir).select("listing_id", "brand", "category", F.coalesce("currency", F.lit("")).alias("cur"), "size", "price")
-    o = r.select(F.col("listing_id").alias("other"), "brand", "category", "cur", F.col("size").alias("size_"), F.col("price").alias("price_"))
-    pairs = r.join(o, ["brand", "category", "cur"]).where("listing_id <> other and abs(size - size_) <= 2")
-    return pairs.groupBy("listing_id").agg(F.count("*").alias("n"), F.round(F.median("price_"), 4).alias("median_price"))
+    """Per recent listing, how many of the newest others of its brand, category and currency lie within two sizes, and
+    their median price."""
+    pairs = _pairs(spark, sf_dir, ["brand", "category", "currency"], "size", "price").where("abs(target.size - candidate.size) <= 2")
+    return pairs.groupBy(F.col("target.listing_id").alias("listing_id")).agg(F.count("*").alias("n"), F.round(F.median("candidate.price"), 4).alias("median_price"))
 
 
-COMPARABLES_RANGE = f"""WITH {views.RECENT} SELECT a.listing_id, count(*) AS n, round(median(b.price), 4) AS median_price FROM recent a JOIN recent b
- ON a.brand = b.brand AND a.category = b.category AND a.currency IS NOT DISTINCT FROM b.currency AND a.listing_id <> b.listing_id AND abs(a.size - b.size) <= 2 GROUP BY a.listing_id"""
+COMPARABLES_RANGE = _pairs_sql("brand, category, currency", "abs(a.size - b.size) <= 2", "count(*) AS n, round(median(b.price), 4) AS median_price")
 
 
 def comparables_null_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per recent listing, how many others of its brand and category have its place, or an unknown one on either side."""
-    r = views.recent(spark, sf_dir).select("listing_id", "brand", "category", "location")
-    o = r.select(F.col("listing_id").alias("other"), "brand", "category", F.col("location").alias("place"))
-    pairs = r.join(o, ["brand", "category"]).where("listing_id <> other and (location is null or place is null or location = place)")
-    return pairs.groupBy("listing_id").agg(F.count("*").alias("n"))
+    """Per recent listing, how many of the newest others of its brand and category have its place, or an unknown one on
+    either side."""
+    pairs = _pairs(spark, sf_dir, ["brand", "category"], "location").where("target.location is null or candidate.location is null or target.location = candidate.location")
+    return pairs.groupBy(F.col("target.listing_id").alias("listing_id")).agg(F.count("*").alias("n"))
 
 
-COMPARABLES_NULL_TOLERANT = f"""WITH {views.RECENT} SELECT a.listing_id, count(*) AS n FROM recent a JOIN recent b
- ON a.brand = b.brand AND a.category = b.category AND a.listing_id <> b.listing_id AND (a.location IS NULL OR b.location IS NULL OR a.location = b.location) GROUP BY a.listing_id"""
+COMPARABLES_NULL_TOLERANT = _pairs_sql("brand, category", "(a.location IS NULL OR b.location IS NULL OR a.location = b.location)", "count(*) AS n")
 
 
 def top250_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

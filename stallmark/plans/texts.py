@@ -11,8 +11,9 @@ from stallmark.analyzers.gpu import GpuAnalyzer
 from stallmark.analyzers.notebook import NotebookAnalyzer
 from stallmark.analyzers.vehicle import VehicleAnalyzer
 from stallmark.functions import hashing, numbers, text, urls
-from stallmark.operators.filters import filter_reasons
+from stallmark.operators.filters import fact_reasons, listing_facts, search_facts
 from stallmark.plans import views
+from stallmark.sources.parsers import once
 
 _PLAIN = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -145,9 +146,9 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", "p_name", "p_size", title.alias("title"), F.lit(None).cast("string").alias("description"), F.create_map().cast("map<string,string>").alias("attributes"))
 
 
-def _read(spark: SparkSession, sf_dir: str, kind: int, analyzer) -> DataFrame:
-    """One kind of ad with the struct that its analyzer extracts as d, and its analysis as a."""
-    rows = ads(spark, sf_dir).where(F.col("p_partkey") % 4 == kind)
+def _read(spark: SparkSession, sf_dir: str, analyzer) -> DataFrame:
+    """All ads of the analyzer's category, with the struct that it extracts as d, and its analysis as a."""
+    rows = ads(spark, sf_dir).where(detect_category(F.col("title"), F.col("description")) == analyzer.category)
     rows = rows.withColumn("d", analyzer.extract(Listing(F.col("title"), F.col("description"), F.col("attributes"))))
     return rows.withColumn("a", analyzer.analyze(F.col("d")))
 
@@ -160,7 +161,7 @@ CATEGORIES = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'vehicle' WHEN 1
 
 
 def extract_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _read(spark, sf_dir, 0, VehicleAnalyzer())
+    r = _read(spark, sf_dir, VehicleAnalyzer())
     return r.select("p_partkey", "d.brand", "d.model", "d.year", "d.mileage", "d.transmission", "d.fuel", "d.maintenance_mentioned", "d.condition", F.round("d.extraction_confidence", 4).alias("confidence"), "a.feature_score", "a.risk_score")
 
 
@@ -169,7 +170,7 @@ EXTRACT_VEHICLE = """SELECT p_partkey, 'volkswagen' AS brand, 'golf' AS model, 1
 
 
 def extract_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _read(spark, sf_dir, 1, GpuAnalyzer())
+    r = _read(spark, sf_dir, GpuAnalyzer())
     return r.select("p_partkey", "d.normalized_model", "d.board_brand", "d.vram_gb", "d.usage_time", "d.warranty", "d.condition", "d.extraction_confidence", "a.feature_score", "a.risk_score")
 
 
@@ -178,7 +179,7 @@ EXTRACT_GPU = """SELECT p_partkey, concat('NVIDIA GeForce RTX ', (20 + p_size %
 
 
 def extract_notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _read(spark, sf_dir, 2, NotebookAnalyzer())
+    r = _read(spark, sf_dir, NotebookAnalyzer())
     return r.select("p_partkey", "d.manufacturer", "d.cpu", "d.cpu_generation", "d.ram_gb", "d.storage_gb", "d.storage_type", "d.condition", F.round("d.extraction_confidence", 4).alias("confidence"), "a.feature_score", "a.risk_score")
 
 
@@ -187,7 +188,7 @@ EXTRACT_NOTEBOOK = """SELECT p_partkey, 'dell' AS manufacturer, 'i5 1135g7' AS c
 
 
 def extract_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _read(spark, sf_dir, 3, GenericAnalyzer("electronics"))
+    r = _read(spark, sf_dir, GenericAnalyzer("electronics"))
     return r.select("p_partkey", "d.brand", "d.condition", F.size("d.defects").alias("defects"), "d.extraction_confidence", "a.feature_score", "a.risk_score")
 
 
@@ -200,11 +201,12 @@ def filter_reason_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.recent(spark, sf_dir).withColumn("description", F.lit(None).cast("string"))
     s = views.search(spark, sf_dir).where("active")
     blank = {n: F.lit(None).cast(t) for n, t in (("min_year", "int"), ("max_year", "int"), ("radius_km", "int"), ("forbidden_words", "array<string>"))}
-    s = s.withColumns(blank).withColumn("forbidden_words", F.array(F.lit("steel"))).select("search_id", F.col("query").alias("q"), F.struct("category", "query", "min_price", "max_price", "min_year", "max_year", "location", "radius_km", "forbidden_words").alias("s"))
+    wanted = F.struct("category", "query", "min_price", "max_price", "min_year", "max_year", "location", "radius_km", "forbidden_words")
+    s = s.withColumns(blank).withColumn("forbidden_words", F.array(F.lit("steel"))).withColumn("s", wanted).select("search_id", F.col("query").alias("q"), search_facts(F.col("s")).alias("s"))
+    r = r.select("listing_id", "brand", "category", "size", listing_facts(F.col("title"), F.col("description"), F.col("price"), F.col("location")).alias("l"))
     pairs = r.join(s, r["brand"] == s["q"])
-    l = F.struct("title", "description", "price", "location")  # noqa: E741
-    why = filter_reasons(l, F.col("s"), F.split("category", " ")[0], F.col("size"))
-    return pairs.select("search_id", "listing_id", F.array_join(why, ",").alias("reasons"), (F.size(why) == 0).alias("passed"))
+    why = fact_reasons(F.col("l"), F.col("s"), F.split("category", " ")[0], F.col("size"))
+    return pairs.select("search_id", "listing_id", once(why, lambda w: F.struct(F.array_join(w, ",").alias("reasons"), (F.size(w) == 0).alias("passed"))).alias("w")).select("search_id", "listing_id", "w.*")
 
 
 FILTER_REASON_LISTS = f"""WITH {views.RECENT}, {views.SEARCH}, j AS (SELECT s.search_id, r.listing_id, r.title, r.price, r.location AS place, r.category AS kind, s.category, s.query, s.min_price, s.max_price, s.location AS wanted FROM recent r JOIN search s ON r.brand = s.query WHERE s.active),

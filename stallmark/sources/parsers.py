@@ -22,6 +22,11 @@ def first_where(items: Column, test) -> Column:
     return F.get(F.filter(items, test), 0)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), kept in one place: filters on the result do not repeat its expression, which outgrows a method."""
+    return F.transform(F.array(value), use)[0]
+
+
 def http_or_null(url: Column) -> Column:
     return F.when(url.rlike("(?i)^https?://"), url)
 
@@ -52,7 +57,7 @@ def olx_cards(df: DataFrame) -> DataFrame:
 
 def mercadolivre_cards(df: DataFrame) -> DataFrame:
     """href, title, price_text, image, location to summaries; title and id are both needed."""
-    rows = df.withColumns({"_title": nullable_text(F.col("title")), "_id": first_party_id(F.lit("mercadolivre"), F.col("href")), "_price": parse_price(F.col("price_text"))}).where("_title is not null and _id is not null")
+    rows = df.withColumns({"_title": nullable_text(F.col("title")), "_id": first_party_id(F.lit("mercadolivre"), F.col("href")), "_price": once(F.col("price_text"), parse_price)}).where("_title is not null and _id is not null")
     return rows.select(*_summary("mercadolivre", F.col("_id"), F.col("_title"), F.col("_price"), F.when(F.col("_price").isNotNull(), "BRL"), nullable_text(F.col("location")), F.col("href"), F.col("image")))
 
 
