@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker: the default counts rows alone, and 10,000 long texts are too many.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,7 +22,8 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Puts this package on the path of Python workers; beyond one machine it is sent to them."""
+    """Puts this package on the path of Python workers, beyond one machine by sending it, and bounds their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parent.parent)
     known = sc.environment.get("PYTHONPATH", "")
