@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from stallmark.llm.kernels import Words, mix, ragged, slices
 
 PASSAGE, PAIRS, HIDDEN, GATE = 64, 96, 24, 16
+#: Bytes of text whose features are made at once: some 100 bytes of memory for each.
+TEXT_BYTES = 1 << 19
 CLASSES = ["upper", "lower", "digit", "full stop, exclamation or question mark", "comma, semicolon or colon", "quote or bracket", "other sign", "beyond ASCII", "line end", "space"]
 
 
@@ -163,7 +165,7 @@ def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray, epochs: int = 25, b
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in slices(whole, "text"):
+        for b in slices(whole, "text", TEXT_BYTES):
             x, count = passages(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), ragged(x.ravel(), count * WIDTH, pa.float32()), b.column(2)], ["label", "n", "x", "key"])
 
@@ -193,7 +195,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", TEXT_BYTES):
                 s = np.full(b.num_rows, 0.5) if model is None else model.score(*passages(b.column(b.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from stallmark.llm.kernels import Words, segment_hashes
 
 #: Entries after which a cache is emptied, and the longest word in bytes that is cached.
-MOST_WORDS, MOST_PIECES, LONGEST = 1_000_000, 600_000, 256
+MOST_WORDS, MOST_PIECES, LONGEST = 400_000, 300_000, 256
 #: The split pattern that pieces() carries out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTER, DIGIT, SIGN, SLOW = 1, 2, 3, 0
