@@ -16,11 +16,16 @@ lost executor repeats one stage at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallmark.llm import line_dedup, mixing, ngram_join, packing, quality
 from stallmark.llm.scratch import materialize
+from stallmark.session import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 WORD = r"[^\x20\x09-\x0D]"
@@ -59,7 +64,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES = [("quality_classifier", quality_classifier), ("line_dedup", line_dedup_stage), ("ngram_jaccard", ngram_jaccard), ("mixing", mixing_stage), ("packing", packing_stage)]
+def shipped(stage: Stage) -> Stage:
+    """stage in a session whose Python workers find the package and get bounded batches."""
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
+STAGES = [(name, shipped(stage)) for name, stage in (("quality_classifier", quality_classifier), ("line_dedup", line_dedup_stage), ("ngram_jaccard", ngram_jaccard), ("mixing", mixing_stage), ("packing", packing_stage))]
 
 #: A trained model, tokenizers and seeded draws are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
