@@ -35,11 +35,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
     records = warc.read_warc(spark, path)
-    sized = records.select(F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("own_bytes"), warc.base32_sha1(F.col("payload")).alias("own_digest"), "payload_digest", "record_type", "refers_to")
-    full = sized.where("record_type = 'response'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")
-    sizes = full.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    again = sized.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to").join(sizes, "payload_digest")
-    return full.unionByName(again)
+    digest = F.when(F.col("record_type") == "response", warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest"))
+    return records.select(F.col("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallmark.llm.scratch import materialize
+from stallmark.llm.scratch import materialize, spread_join
 
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: The profile URI of WARC 1.1 and the alphabet of base32 (RFC 4648).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-SALTS = 16
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -42,16 +41,22 @@ def _field(name: str, value: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, records_per_file: int = 2000, compression: str = "gzip") -> None:
-    """Writes the archives. Groups of equal payloads are found on (id, digest) alone and joined back by digest and
-    a salt of the id, so that a hot payload is spread over tasks."""
+    """Writes the archives. Groups of equal payloads are found on (id, digest, size) alone, and pages learn what they revisit
+    by id and payload, so that a hot payload is spread over tasks. A revisit record names the length of the payload."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html"), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")})
-    groups = rows.where(F.col("size") >= min_payload).groupBy("digest", "size").agg(F.min("id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1")
-    groups = groups.select("digest", "size", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.join(groups, ["digest", "size", "salt"], "left")
-    again = F.row_number().over(Window.partitionBy("digest", "size", "salt", "id").orderBy("url"))
-    revisit = F.col("keeper").isNotNull() & F.col("id").isNotNull() & ((F.col("id") != F.col("keeper")) | (F.col("again") > 1))
-    joined = joined.withColumn("again", again).withColumn("revisit", revisit)
+    rows = rows.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html")})
+    payload = ["digest", "size"]
+    narrow = materialize(rows.where(F.col("size") >= min_payload).groupBy("id", *payload).agg(F.count("*").alias("n")), "warc-payloads")
+    groups = narrow.groupBy(*payload).agg(F.min("id").alias("keeper"), F.sum("n").alias("copies")).where("copies > 1 and keeper is not null")
+    groups = materialize(groups, "warc-groups")
+    members = materialize(spread_join(narrow.where("id is not null"), groups, payload, "copies").where("id <> keeper or n > 1").select("id", *payload, "keeper", "n"), "warc-members")
+    joined = rows.join(members, ["id", *payload], "left")
+    again = F.row_number().over(Window.partitionBy("id", *payload).orderBy("url"))
+    once = joined.where("n is null or n = 1").withColumn("again", F.lit(1))
+    if not members.where("n > 1").isEmpty():  # rows that repeat an id and a payload: only these are put in order
+        once = once.unionByName(joined.where("n > 1").withColumn("again", again))
+    revisit = F.col("keeper").isNotNull() & ((F.col("id") != F.col("keeper")) | (F.col("again") > 1))
+    joined = once.withColumn("revisit", revisit)
     body = F.concat(F.lit(HTTP), F.when(F.col("revisit"), "").otherwise(F.col("html")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     record = F.concat(
@@ -63,6 +68,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         _field("WARC-Refers-To", F.when(F.col("revisit"), urn(F.col("keeper")))),
         _field("WARC-Profile", F.when(F.col("revisit"), PROFILE)),
+        _field("X-Payload-Length", F.when(F.col("revisit"), F.col("size").cast("string"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _field("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
@@ -108,7 +114,8 @@ def _reached(pieces: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record that the chain reaches: file, offset, record_type, record_id, refers_to (both the page id
-    as long), target_uri, payload_digest (from the header), payload (binary; after the HTTP head)."""
+    as long), target_uri, payload_digest (from the header), payload_length (of the full payload: a revisit says it, null if it does
+    not), payload (binary; after the HTTP head)."""
     pieces = _pieces(spark, path)
     linked = pieces.join(_reached(pieces), "file")
     order = Window.partitionBy("file").orderBy("off")
@@ -125,4 +132,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload = F.expr("substring(block, http + 1, greatest(octet_length(block) - http, 0))")
     get = lambda n, p="([^\r\n]*)": F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\r\n){n}:[ \t]*{p}", 1), F.lit(""))
     urn = lambda n: get(n, "<urn:page:(-?[0-9]+)>").cast("long")
-    return records.withColumn("http", http).select("file", F.col("of").alias("offset"), get("WARC-Type").alias("record_type"), urn("WARC-Record-ID").alias("record_id"), urn("WARC-Refers-To").alias("refers_to"), get("WARC-Target-URI").alias("target_uri"), F.regexp_replace(get("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"), payload.alias("payload"))
+    return records.withColumn("http", http).select("file", F.col("of").alias("offset"), get("WARC-Type").alias("record_type"), urn("WARC-Record-ID").alias("record_id"), urn("WARC-Refers-To").alias("refers_to"), get("WARC-Target-URI").alias("target_uri"), F.regexp_replace(get("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"), F.when(get("WARC-Type") == "revisit", get("X-Payload-Length").cast("long")).otherwise(F.octet_length(payload).cast("long")).alias("payload_length"), payload.alias("payload"))
