@@ -83,24 +83,19 @@ def variants(words: np.ndarray) -> np.ndarray:
     return mix(np.append(left[:n] + right[1:], left[n]) + np.append(np.full(n, n - 1), n).astype(np.uint64))
 
 
-def _places(min_chars: int):
+def _places(min_chars: int, near_words: int):
+    """Content, place and half keys of every line; lines under near_words words have no keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 lines = Lines(b.column(1), min_chars)
                 c = lines.contents()
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), b.column(0).take(pa.array(lines.doc)), pa.array(lines.line.astype(np.int32))], ["c", "c2", "doc", "line"])
-
-    return run
-
-
-def _halves(min_chars: int, near_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text"):
-                lines = Lines(b.column(0), min_chars)
                 at, key = lines.halves(near_words)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(lines.contents()[0][at])], ["key", "c"])
+                n = np.zeros(len(lines.start), np.int64)
+                n[at] = 4
+                keys = ragged(signed(np.ascontiguousarray(key.reshape(4, -1).T).ravel()), n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), b.column(0).take(pa.array(lines.doc)), pa.array(lines.line.astype(np.int32)), keys], ["c", "c2", "doc", "line", "keys"])
 
     return run
 
@@ -176,8 +171,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 0, near_words: int = 5, id_
     """(doc, lines): the numbers of the lines to remove."""
     sc = docs.sparkSession.sparkContext
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    places = materialize(rows.mapInArrow(_places(min_chars), "c long, c2 long, doc long, line int"), "line-places")
-    halves = rows.select("text").mapInArrow(_halves(min_chars, near_words), "key long, c long")
+    places = materialize(rows.mapInArrow(_places(min_chars, near_words), "c long, c2 long, doc long, line int, keys array<long>"), "line-places")
+    written = places
+    halves = places.select(F.explode("keys").alias("key"), "c")
+    places = places.drop("keys")
     keys = materialize(halves.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key"), "line-halves")
     shared = sc.broadcast(fill(keys, keys.count()))
     release(keys)
@@ -202,7 +199,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 0, near_words: int = 5, id_
     first = materialize(first, "line-first")
     gone = spread_join(places, first, ["c", "c2"], "k").where(F.col("near") | (F.struct("doc", "line") > F.col("at")))
     gone = materialize(gone.groupBy("doc").agg(F.collect_set("line").alias("lines")), "line-gone")
-    release(places, close, first)
+    release(written, close, first)
     return gone
 
 
