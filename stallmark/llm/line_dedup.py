@@ -8,8 +8,9 @@ of the line. With `min_chars` above 0, shorter lines always stay.
 
 1. Equal lines: the first place of every content, by a partial aggregate.
 2. Candidates: two lines one word apart have equal first halves or equal last halves (of the shorter line's length).
-   Halves that two contents share go to a filter of fixed size; only lines it lets through go on.
-3. Deletion neighbourhood: each candidate emits its hash and those of the line without word i. Lines that differ in
+   Halves that two contents share go to a filter sized by their number; only lines it lets through go on.
+3. Deletion neighbourhood: each candidate emits its hash and those of the line without word i; those that no second line
+   has are counted out first, again by a filter. Lines that differ in
    word i share the variant without it, so each (variant, i) needs only its first line; a line with one word more has
    the other line among its variants, so each variant needs the first whole line and the first shortened one. These are
    aggregates: no pair of a group is emitted but those with its first line.
@@ -119,17 +120,34 @@ def _candidates(min_chars: int, near_words: int, shared):
     return run
 
 
-def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _variants(column: pa.Array) -> list[np.ndarray]:
+    """The variants of each line of word hashes."""
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    return [variants(flat[offsets[i] : offsets[i + 1]]) for i in range(len(column))]
+
+
+def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-            lists = b.column(4)
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            keys = [variants(flat[offsets[i] : offsets[i + 1]]) for i in range(b.num_rows)]
-            n = np.array([len(k) for k in keys], np.int64)
-            slot = np.concatenate([np.append(np.arange(len(k) - 1), -1) for k in keys]).astype(np.int32)
-            rows = b.select([0, 1, 2, 3]).take(pa.array(np.repeat(np.arange(b.num_rows), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(slot), *rows.columns], ["v", "slot", "c", "c2", "doc", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(_variants(b.column(0)))))], ["v"])
+
+
+def _neighbourhood(shared):
+    """Variants that more than one line may have, with slot (the word left out, -1 for the whole line) and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may: Filter = shared.value
+        for whole in batches:
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                keys = _variants(b.column(4))
+                v = signed(np.concatenate(keys))
+                met = np.flatnonzero(may(v))
+                slot = np.concatenate([np.append(np.arange(len(k) - 1), -1) for k in keys]).astype(np.int32)[met]
+                rows = b.select([0, 1, 2, 3]).take(pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys])[met]))
+                yield pa.RecordBatch.from_arrays([pa.array(v[met]), pa.array(slot), *rows.columns], ["v", "slot", "c", "c2", "doc", "line"])
+
+    return run
 
 
 def one_apart(a: list[int], b: list[int]) -> bool:
@@ -181,7 +199,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 0, near_words: int = 5, id_
     near = rows.mapInArrow(_candidates(min_chars, near_words, shared), "c long, c2 long, doc long, line int, words array<long>")
     near = near.groupBy("c", "c2").agg(F.min(F.struct("doc", "line")).alias("at"), F.any_value("words").alias("words"))
     near = materialize(near.select("c", "c2", "at.doc", "at.line", "words"), "line-candidates")
-    entries = materialize(near.mapInArrow(_neighbourhood, "v long, slot int, c long, c2 long, doc long, line int"), "line-variants")
+    met = near.select("words").mapInArrow(_variant_keys, "v long").groupBy("v").count().where("count > 1").select("v")
+    met = materialize(met, "line-met")
+    known = sc.broadcast(fill(met, met.count()))
+    release(met)
+    entries = materialize(near.mapInArrow(_neighbourhood(known), "v long, slot int, c long, c2 long, doc long, line int"), "line-variants")
     place = F.struct("doc", "line", "c", "c2")
     same = entries.where("slot >= 0").groupBy("v", "slot").agg(F.min(place).alias("w"), F.count("*").alias("k")).where("k > 1").select("v", "slot", "w")
     changed = entries.join(same, ["v", "slot"])
