@@ -230,6 +230,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 0, near_words: int = 5, id_col
     rows, names, columns = plain(docs, id_col, text_col, ("n_lines", "n_removed"))
     gone = repeated_lines(rows, min_chars, near_words, "id", "text")
     rest = [c for c in columns if c != "text"]
-    joined = rows.join(gone, F.col("id").cast("long") == F.col("doc"), "left").select(*rest, "text", "lines")
+    # a shuffle at every size: what goes grows with the corpus, and a broadcast of it would not
+    joined = rows.join(gone.hint("merge"), F.col("id").cast("long") == F.col("doc"), "left").select(*rest, "text", "lines")
     schema = StructType([*rows.select(*rest, "text").schema, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     return joined.mapInArrow(_cut, schema).select(*columns, "n_lines", "n_removed").toDF(*names, "n_lines", "n_removed")
