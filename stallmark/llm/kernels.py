@@ -171,3 +171,10 @@ def plain(docs: DataFrame, id_col: str, text_col: str, replaced: tuple[str, ...]
     columns = [name.get(i, f"c{i}") for i in left]
     rows = given.select(*(F.col(f"c{i}").cast("string").alias("text") if c == "text" else F.col(f"c{i}").alias(c) for i, c in zip(left, columns, strict=True)))
     return rows, [docs.columns[i] for i in left], columns
+
+
+def picked(df: DataFrame, **of: str) -> DataFrame:
+    """The columns of df named by the values, under the names of the keys: a name is met as it stands, else in any case."""
+    at = [next(i for same in (str, str.lower) for i, c in enumerate(df.columns) if same(c) == same(name)) for name in of.values()]
+    given = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return given.select(*(F.col(f"c{i}").alias(name) for name, i in zip(of, at, strict=True)))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmark.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality, scratch, substring_dedup, topk, vector_dedup, warc
+import public_tokenizers
+from stallmark.llm import conversation_trie, hard_negatives, license_scan, line_dedup, mixing, ngram_join, packing, quality, scratch, substring_dedup, token_files, topk, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +67,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", quality.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_substring_dedup, op4_license_scan, op5_exact_topk, op6_ngram_jaccard, op7_vector_dedup, op8_packing, op9_warc, op10_quality)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine_negatives(_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, noisy)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = conversation_trie.sequences(_table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.branched(seqs, lambda c: c - c % 100, lambda c: F.crc32(c.cast("string")) % 6, 5))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.scratch_path(spark, "token-files")
+    token_files.write_corpus(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_corpus(spark, path)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_substring_dedup, op4_license_scan, op5_exact_topk, op6_ngram_jaccard, op7_vector_dedup, op8_packing, op9_warc, op10_quality, op11_hard_negatives, op12_conversation_trie, op13_token_files)}
 
 #: SQL for DuckDB where a query's rows can be had from it; the others are held against brute force in tests/llm.
 _REACH = "reach AS (SELECT id, id AS r FROM node UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.r = link.a), component AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"
@@ -97,4 +114,22 @@ ORACLE_SQL: dict[str, str] = {
  1 + ((((strpos('0123456789abcdef', substr(h, 1 + i * 5 // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 + i * 5 // 4, 1)) - 1) >> (3 - i * 5 % 4)) & 31)::INT, 1)), '') AS payload_digest FROM h),
  m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM d)
  SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM m""",
+    "op11_hard_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM e a JOIN e c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op12_conversation_trie": """WITH o AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ h AS (SELECT conv_id, l, (xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+ lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 6)::INT AS h FROM o),
+ r AS (SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h], h.l[h + 1:]) AS l FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+ p AS (SELECT conv_id, d, l[1:d] AS p, d = len(l) AS ends, CASE WHEN d > 0 THEN length(l[d].x) ELSE 0 END AS n FROM r, unnest(range(0, len(l) + 1)) AS t(d)),
+ node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY p, d),
+ kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+ own AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kids ON kids.p = node.p AND kids.d = node.d),
+ sub AS (SELECT p[1:k] AS p, k AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(w)::BIGINT AS saved_tokens FROM own, unnest(range(0, d + 1)) AS t(k) GROUP BY ALL)
+ SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+ FROM own JOIN sub ON sub.p = own.p AND sub.d = own.d LEFT JOIN node up ON own.d > 0 AND up.d = own.d - 1 AND up.p = own.p[1:own.d - 1]""",
 }
