@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallmark import shared
 from stallmark.functions.numbers import parse_price
 from stallmark.functions.urls import first_party_id, short_url
 from stallmark.operators import validation
 from stallmark.plans import views
-from stallmark.sources import parsers, registry
+from stallmark.sources import pages, parsers, registry
 
 _REAIS = "floor(p_retailprice)::BIGINT"
 #: A price as its text says it, and what it is worth: cents on every third part.
@@ -164,16 +165,38 @@ API_DETAILS = f"""WITH i AS (SELECT {_ITEM_SQL}, CASE WHEN p_partkey % 2 = 0 THE
  CASE WHEN p_partkey % 6 <> 0 THEN TIMESTAMP '2001-02-03 04:05:06' END AS published_at FROM i"""
 
 
-def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of 50 items as JSON, read back to items in order; the total ends them before the last part."""
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for each brand, its parts in pages of 50 by key; every response of a search names the same total, seven
+    eighths of its largest key, beyond which pages were captured too."""
     p = views.table(spark, sf_dir, "part")
-    item = F.struct(_k().alias("at"), F.concat(F.lit("MLB"), _k().cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
-    pages = p.groupBy((F.floor(_k() / 50) * 50).alias("offset")).agg(F.array_sort(F.collect_list(item)).alias("results"))
-    body = F.to_json(F.struct(F.col("results"), F.struct(F.lit(1000).cast("long").alias("total")).alias("paging")))
-    return registry.paged_items(pages.select("offset", body.alias("body")), "struct<id:string,title:string,price:double>")
+    item = F.struct(_k().alias("at"), F.concat(F.lit("MLB"), _k().cast("string")).alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("price"), F.lit("BRL").alias("currency_id"))
+    bodies = p.groupBy("p_brand", (F.floor(_k() / 50) * 50).alias("offset")).agg(F.array_sort(F.collect_list(item)).alias("results"))
+    totals = p.groupBy("p_brand").agg(F.floor(F.max("p_partkey") * 7 / 8).alias("total"))
+    body = F.to_json(F.struct("results", F.struct("total").alias("paging")))
+    return bodies.join(totals, "p_brand").select(F.lit("mercadolivre").alias("source"), F.col("p_brand").alias("query"), "offset", body.alias("body"))
+
+
+_PAGES_SQL = """pages AS (SELECT p_brand AS query, p_partkey - p_partkey % 50 + row_number() OVER (PARTITION BY p_brand, p_partkey // 50 ORDER BY p_partkey) - 1 AS seq, concat('MLB', p_partkey) AS id, p_name AS title,
+ CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS price FROM part JOIN (SELECT p_brand, floor(max(p_partkey) * 7 / 8) AS total FROM part GROUP BY p_brand) USING (p_brand) WHERE p_partkey - p_partkey % 50 < total)"""
+
+
+def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 50 items as JSON, read back to items in order; the total of each search ends them."""
+    return registry.paged_items(_pages(spark, sf_dir), "struct<id:string,title:string,price:double>", keys=("query",))
+
+
+API_PAGES = f"WITH {_PAGES_SQL} SELECT query, seq, id, title, price FROM pages"
 
 
-API_PAGES = "SELECT p_partkey AS seq, concat('MLB', p_partkey) AS id, p_name AS title, p_retailprice AS price FROM part WHERE p_partkey - p_partkey % 50 < 1000"
+def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a store, read through its data source within a range of prices: bundles and pages out of it stay
+    unread, and so do those past a search's total."""
+    path = shared.fresh_path(spark, "pages")
+    pages.write_pages(_pages(spark, sf_dir), path, bundle_pages=16)
+    return pages.read_pages(spark, path).where("price >= 930 and price < 1040").select("source", "slug", "seq", "id", "title", "price", "currency_id")
+
+
+PAGE_SOURCE = f"WITH {_PAGES_SQL} SELECT 'mercadolivre' AS source, replace(lower(query), '#', '-') AS slug, seq, id, title, price, 'BRL' AS currency_id FROM pages WHERE price >= 930 AND price < 1040"
 
 
 def merged_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,3 +288,18 @@ def category_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATEGORY_DATA = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN p_brand END AS brand, CASE WHEN p_partkey % 4 IN (1, 2) THEN p_size END AS year, p_partkey % 4 IN (1, 2) AS known FROM part"
+
+
+def search_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as an arrival of a listing (several share an identity), through a provider's search: the first arrival of
+    an identity decides, the range of prices then drops it or not, and the 200 first are the result."""
+    p = views.table(spark, sf_dir, "part")
+    rows = p.select(_k().alias("seq"), F.lit("mercadolivre").alias("source"), F.concat(F.lit("MLB"), F.col("p_size").cast("string"), F.lit("-"), F.col("p_brand"), (_k() % 97).cast("string")).alias("external_id"), F.col("p_name").alias("title"), F.when(_k() % 11 != 0, F.col("p_retailprice")).alias("price"), F.lit("BRL").alias("currency"), F.lit("Brasil").alias("location"), F.lit("https://www.mercadolivre.com.br/x").alias("url"), F.lit(None).cast("string").alias("image_url"))
+    searches = registry.ProviderRegistry()
+    searches.register("mercadolivre", lambda s, c: rows, filter_prices=True)
+    good, _ = searches.search(spark, "mercadolivre", registry.Criteria("peças", 1000.0, 1500.0, limit=200))
+    return good.select("seq", "external_id", "price")
+
+
+SEARCH_ORDER = """WITH r AS (SELECT p_partkey AS seq, concat('MLB', p_size, '-', p_brand, p_partkey % 97) AS external_id, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS price FROM part),
+ f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY seq) = 1) SELECT * FROM f WHERE price IS NULL OR price BETWEEN 1000 AND 1500 ORDER BY seq LIMIT 200"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallmark.operators import scoring, state, statistics
 from stallmark.operators.comparables import newest_pool, pool_pairs
+from stallmark.operators.selection import exact_percentiles
 from stallmark.plans import views
 
 _STATS = ["median_price", "mean_price", "min_price", "max_price", "p25", "p75", "p90"]
@@ -36,6 +37,18 @@ def price_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRICE_STATISTICS = f"WITH {views.LISTING} SELECT source, {_STATS_SQL} FROM listing GROUP BY source"
 
 
+def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of all arrivals by condition and currency: groups of more than 2,000 distinct prices, of which one
+    holds about half of all rows, are narrowed by histograms."""
+    out = exact_percentiles(views.feed(spark, sf_dir), ["item_condition", "currency"], "price", [0.25, 0.5, 0.75, 0.9], few=2_000)
+    p = F.col("percentiles")
+    return out.select("item_condition", "currency", "n", *(F.round(p[i] + 1e-7, 4).alias(c) for i, c in enumerate(("p25", "median_price", "p75", "p90"))))
+
+
+PRICE_PERCENTILES = f"""WITH {views.FEED} SELECT item_condition, currency, count(price) AS n, round(quantile_cont(price, 0.25) + 1e-7, 4) AS p25, round(median(price) + 1e-7, 4) AS median_price,
+ round(quantile_cont(price, 0.75) + 1e-7, 4) AS p75, round(quantile_cont(price, 0.9) + 1e-7, 4) AS p90 FROM feed WHERE price IS NOT NULL GROUP BY item_condition, currency"""
+
+
 def _pairs(spark: SparkSession, sf_dir: str, keys: list[str], *columns: str) -> DataFrame:
     """Recent listings with the 250 newest others of equal keys."""
     r = views.recent(spark, sf_dir).withColumn("last_seen_at", F.col("seen_at"))

@@ -33,14 +33,18 @@ class Criteria:
 
 @dataclass
 class ProviderRegistry:
-    """Readers by source name. A second reader of a name is refused, a missing one is an error."""
+    """Readers by source name. A second reader of a name is refused, a missing one is an error. Some providers' sites know
+    a range of prices and their readers give only what is in it; of the others, `priced`, the range is asked here."""
 
     readers: dict[str, Reader] = field(default_factory=dict)
+    priced: set[str] = field(default_factory=set)
 
-    def register(self, name: str, reader: Reader) -> None:
+    def register(self, name: str, reader: Reader, filter_prices: bool = False) -> None:
         if name in self.readers:
             raise ValueError(f"a provider {name} is registered")
         self.readers[name] = reader
+        if filter_prices:
+            self.priced.add(name)
 
     def get(self, name: str) -> Reader:
         if name not in self.readers:
@@ -55,21 +59,26 @@ class ProviderRegistry:
 
     def close(self) -> None:
         self.readers.clear()
+        self.priced.clear()
 
     def search(self, spark: SparkSession, name: str, criteria: Criteria) -> tuple[DataFrame, DataFrame]:
-        """(summaries, rejected) of one provider: checked, in the price range or without price, deduplicated, and only
-        then limited, in order of arrival."""
+        """(summaries, rejected) of one provider: checked, deduplicated (the first arrival of an identity stands for it, also
+        where its price is out of range), then held against the range of prices where the site does not do that (no price
+        is within every range), and only then limited, in order of arrival."""
         good, bad = gate(self.get(name)(spark, criteria), F.lit(name))
-        rows = deduplicate_listings(within_prices(good, criteria.min_price, criteria.max_price))
+        rows = deduplicate_listings(good)
+        if name in self.priced:
+            rows = within_prices(rows, criteria.min_price, criteria.max_price)
         return rows.orderBy("seq").limit(criteria.limit), bad
 
 
-def paged_items(df: DataFrame, item_schema: str, page: int = 50) -> DataFrame:
-    """Rows of API pages (offset, body as JSON with results and paging.total) as items with seq = their place. Pages
-    from the first empty one on, or past the total, give nothing."""
+def paged_items(df: DataFrame, item_schema: str, page: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of API pages (keys of a search, offset, body as JSON with results and paging.total) as items with seq = their
+    place. Pages of a search from its first empty one on, or past its total, give nothing."""
     body = F.from_json("body", f"results array<{item_schema}>, paging struct<total:bigint>")
     rows = df.withColumn("b", body)
-    ends = rows.agg(F.min(F.when(F.size("b.results") == 0, F.col("offset"))).alias("empty"), F.max("b.paging.total").alias("total"))
-    kept = rows.crossJoin(F.broadcast(ends)).where(F.coalesce(F.col("offset") < F.col("empty"), F.lit(True)) & F.coalesce(F.col("offset") < F.col("total"), F.lit(True)))
-    items = kept.select("offset", F.posexplode(F.slice("b.results", 1, page)).alias("at", "item"))
-    return items.select((F.col("offset") + F.col("at")).alias("seq"), "item.*")
+    empty = F.min(F.when(F.size("b.results") == 0, F.col("offset")))
+    ends = rows.groupBy(*keys).agg(F.least(empty, F.max("b.paging.total")).alias("end"))
+    kept = rows.join(ends, list(keys)) if keys else rows.crossJoin(F.broadcast(ends))
+    items = kept.where(F.coalesce(F.col("offset") < F.col("end"), F.lit(True))).select(*keys, "offset", F.posexplode(F.slice("b.results", 1, page)).alias("at", "item"))
+    return items.select(*keys, (F.col("offset") + F.col("at")).alias("seq"), "item.*")

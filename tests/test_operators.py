@@ -224,9 +224,11 @@ def test_api(spark):
 
 def test_providers(spark):
     registry = ProviderRegistry()
+    registry.register("mercadolivre", lambda s, c: summaries(s, *(summary(i, "1", price=p, source="mercadolivre", url="https://www.mercadolivre.com.br/x") for i, p in ((1, 10.0), (2, 100.0)))), filter_prices=True)
+    assert registry.search(spark, "mercadolivre", Criteria("rtx", 50.0, 1000.0))[0].count() == 0  # the first arrival decides
     registry.register("olx", lambda s, c: summaries(s, summary(2, "2", price=None), summary(1, "1", price=50.0), summary(3, "3", price=5000.0), summary(4, "2")))
     good, bad = registry.search(spark, "olx", Criteria("rtx", max_price=1000.0, limit=2))
-    assert [r.seq for r in good.collect()] == [1, 2] and bad.count() == 0 and registry.list() == ["olx"] and registry.has("olx")
+    assert [r.seq for r in good.collect()] == [1, 2] and bad.count() == 0 and registry.list() == ["mercadolivre", "olx"] and registry.has("olx")
     for wrong in (lambda: registry.register("olx", None), lambda: Criteria("x", limit=201)):
         with pytest.raises(ValueError):
             wrong()
