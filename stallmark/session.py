@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import secrets
 import shutil
 import tempfile
 from pathlib import Path
@@ -22,9 +24,11 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Puts this package on the path of Python workers, beyond one machine by sending it, and bounds their batches."""
+    """Puts this package on the path of Python workers, beyond one machine by sending it, bounds their batches, and gives
+    them the key under which this application hashes words."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
+    sc.environment.setdefault("STALLMARK_HASH_KEY", os.environ.setdefault("STALLMARK_HASH_KEY", secrets.token_hex(16)))
     root = str(Path(__file__).resolve().parent.parent)
     known = sc.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
