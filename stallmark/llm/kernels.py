@@ -1,12 +1,15 @@
 """Vectorised text kernels that run inside Arrow batches: words, rolling hashes, sliding minima.
 
-A word is a run of bytes outside space and \\t\\n\\v\\f\\r. All hashes are 64-bit; they are polynomial
-hashes modulo 2**64 whose values are mixed, so equal words or word sequences always hash alike.
+A word is a run of bytes outside space and \\t\\n\\v\\f\\r. All hashes are 64-bit, and equal words or word sequences hash
+alike. Words are hashed by BLAKE2b under a key that each application draws anew (stallmark.session), so nobody can write
+words that collide; sequences combine the values of their words by place.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ LOWER[65:91] += 32
 BASE = U(0x9E3779B97F4A7C15 | 1)
 STEP = U(0xD6E8FEB86659FD93)
 CHUNK = 1 << 18
+#: The application's key, in the environment of the driver and of Python workers.
+KEY = bytes.fromhex(os.environ.get("STALLMARK_HASH_KEY", ""))
 #: Bytes of text handled at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 21
 
@@ -47,7 +52,8 @@ POW, INV = _powers(BASE, CHUNK), _powers(U(_inverse(BASE)), CHUNK)
 
 
 def segment_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each buf[start:end]; starts and ends ascend."""
+    """Hash of the bytes of each buf[start:end]; starts and ends ascend. The same in every application, and easy to collide:
+    good for features, not to tell words apart."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(out):
@@ -63,6 +69,16 @@ def segment_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix(out ^ (end - start).astype(np.uint64) * STEP)
 
 
+def keyed_hashes(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings of these sizes on end. Arrow compares their bytes; each distinct one is hashed once."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+    digests = b"".join([blake2b(x, digest_size=8, key=KEY).digest() for x in cells.dictionary.to_pylist()])
+    return np.frombuffer(digests, np.uint64)[cells.indices.to_numpy()]
+
+
 class Words:
     """The words of a string array: byte buffer, begin and end of each word, and the first word of each text."""
 
@@ -90,7 +106,7 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        return segment_hashes(self.buf, self.start, self.end)
+        return keyed_hashes(self.buf[~SPACE[self.buf]], self.end - self.start)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
@@ -125,19 +141,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each h[start:end]; starts ascend."""
+    """Hash of each h[start:end]. Each value is mixed with its place in the span before they are added up."""
     out = np.empty(len(start), np.uint64)
+    size = (end - start).astype(np.int64)
+    upto = np.cumsum(size)
     i = 0
     while i < len(start):
-        lo = int(start[i])
-        j = max(int(np.searchsorted(start, lo + CHUNK // 2)), i + 1)
-        hi = int(end[i:j].max())
-        pw, inv = (POW, INV) if hi - lo <= CHUNK else (_powers(BASE, hi - lo), _powers(U(_inverse(BASE)), hi - lo))
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((h[lo:hi] ^ STEP) * pw[: hi - lo], out=total[1:])
-        out[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * inv[start[i:j] - lo]
+        done = int(upto[i - 1]) if i else 0
+        j = max(int(np.searchsorted(upto, done + CHUNK, "right")), i + 1)
+        n = size[i:j]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        total = np.concatenate([[U(0)], np.cumsum(mix(h[np.repeat(start[i:j], n) + place] + place.astype(np.uint64) * STEP), dtype=np.uint64)])
+        out[i:j] = total[first + n] - total[first]
         i = j
-    return mix(out ^ (end - start).astype(np.uint64) * BASE)
+    return mix(out ^ size.astype(np.uint64) * BASE)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

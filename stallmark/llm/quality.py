@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from stallmark.llm.kernels import Words, mix, ragged, slices
+from stallmark.llm.kernels import Words, mix, ragged, segment_hashes, slices
 
 PASSAGE, PAIRS, HIDDEN, GATE = 64, 96, 24, 16
 #: Bytes of text whose features are made at once: some 100 bytes of memory for each.
@@ -75,7 +75,7 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x[:, SURFACE:] = np.sqrt(pairs / size[:, None])
     mean = np.bincount(of, length, total) / words
     first, last = CLASS[w.buf[w.start]], CLASS[w.buf[w.end - 1]]
-    h = w.hashes()
+    h = segment_hashes(w.buf, w.start, w.end)
     distinct = np.bincount(np.unique((h >> np.uint64(40)) + (of.astype(np.uint64) << np.uint64(24))).astype(np.int64) >> 24, minlength=total)
     again = np.zeros(len(h), bool)
     if len(h) > 2:

@@ -4,8 +4,8 @@ The vocabulary's pre-tokenizer never matches across white space, so the ids of a
 Words are looked up by hash; new words are cut into pieces (runs of letters, single digits, runs of other signs) for
 a whole batch at once, and each new piece goes through the BPE model once. Words with anything beyond U+023F, an
 apostrophe, a control or white space character, or more than LONGEST bytes go through the tokenizer itself. Results equal
-Tokenizer.encode(text, add_special_tokens=False), but for two words of up to LONGEST bytes whose 64-bit hashes are
-equal; so short, structured words cannot be made to collide either.
+Tokenizer.encode(text, add_special_tokens=False), but for two words of up to LONGEST bytes of one cache whose keyed 64-bit
+hashes are equal, which nobody can bring about.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from stallmark.llm.kernels import Words, segment_hashes
+from stallmark.llm.kernels import Words, keyed_hashes
 
 #: Entries after which a cache is emptied, and the longest word in bytes that is cached.
 MOST_WORDS, MOST_PIECES, LONGEST = 400_000, 300_000, 256
@@ -132,7 +132,9 @@ class WordIds:
         stop = np.append(begin[1:], len(buf))
         fast = ~slow[word]
         begin, stop, word = begin[fast], stop[fast], word[fast]
-        uniq, first, inverse = np.unique(segment_hashes(buf, begin, stop), return_index=True, return_inverse=True)
+        length = stop - begin
+        flat = buf[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+        uniq, first, inverse = np.unique(keyed_hashes(flat, length), return_index=True, return_inverse=True)
         new = self.pieces.new(uniq)
         if new.any():
             model, letters, lowered = self.tokenizer.model, self.letters, buf.tobytes()
