@@ -28,6 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stallmark.llm.kernels import picked
 from stallmark.llm.scratch import materialize
 
 MOST_WORDS = 200_000
@@ -94,7 +95,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     """(doc_id, license, containment, word): each template found in a document, the share of its shingles and the
     word number where the first window that found it begins."""
     known = template_table(docs, templates or TEMPLATES, width)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, id=id_col, text=text_col).where("text is not null").select("id", F.col("text").cast("string").alias("text"))
     bands = None
     for i, (span, keep, lines) in enumerate(SCALES):
         longer = SCALES[i + 1][0] * 2 - width + 1 if i + 1 < len(SCALES) else 1 << 30

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallmark.llm.kernels import mix as scramble
+from stallmark.llm.kernels import mix as scramble, picked
 
 #: One row per source is gathered on the driver and sent to the tasks: about 100 bytes each.
 MOST_SOURCES = 1_000_000
@@ -161,7 +161,9 @@ def _key(seed: int, source: int, turn: int) -> int:
 
 def measured(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, source, size, of_text) of each row, and, if asked for, a struct `kept` of the columns in keep."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(text_col).alias("of_text"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")] if keep else []))
+    rows = picked(docs, id=id_col, source=source_col, text=text_col, **{f"kept{i}": c for i, c in enumerate(keep or [])})
+    kept = [F.struct(*(F.col(f"kept{i}").alias(c) for i, c in enumerate(keep))).alias("kept")] if keep else []
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("text").alias("of_text"), *kept)
 
 
 def plan_for(rows: DataFrame, **options) -> Plan:
@@ -243,7 +245,7 @@ def texts(docs: DataFrame, rows: DataFrame, plan: Plan, id_col: str = "doc_id",
     taken = mix(keyed, plan).groupBy(*cols, "_key", "from", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans")).drop("from")
     none = keyed.where("size = 0").select(*cols, "_key", F.lit(0).cast("long").alias("turn"), F.array().cast(dict(taken.dtypes)["_spans"]).alias("_spans"))
     taken = taken.unionByName(none).withColumn("_doc", F.xxhash64("id", "_key"))
-    every = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("_doc"), F.xxhash64(text_col).alias("_key"), F.col(text_col).cast("string").alias(text_col)).dropDuplicates(["_doc", "_key"])
+    every = picked(docs, id=id_col, text=text_col).select(F.xxhash64(F.col("id").cast("long"), F.xxhash64("text")).alias("_doc"), F.xxhash64("text").alias("_key"), F.col("text").cast("string").alias(text_col)).dropDuplicates(["_doc", "_key"])
     some = taken.join(every, ["_doc", "_key"])
     words = F.split(F.trim(F.regexp_replace(text_col, "[ \\t\\n\\x0B\\f\\r]+", " ")), " ")
     whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]) == F.col("size")

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.llm.graph import components
-from stallmark.llm.kernels import Words, grams, mix, ragged, signed, slices, span_hashes
+from stallmark.llm.kernels import Words, grams, mix, picked, ragged, signed, slices, span_hashes
 from stallmark.llm.scratch import materialize, release, shuffles_end, spread_join
 from stallmark.llm.sketches import Counts, Filter, Frequent, fill
 
@@ -305,7 +305,7 @@ def jaccard_rows(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """(doc, of_text, n, component, keeper) of every row that has an id and a set: of_text is xxhash64 of the text, component
     the smallest id reachable by links, and keeper the of_text of one row of this id in the component."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
+    rows = picked(docs, doc=id_col, text=text_col).select(F.col("doc").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
     rows = rows.select("doc", F.xxhash64("text").alias("of_text"), "text")
     heavy = rows.select("text").mapInArrow(_count(words), "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
     heavy = heavy.where("count > 3").orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
@@ -328,8 +328,9 @@ def jaccard_rows(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id reachable by links."""
     found = jaccard_rows(docs, words, percent, id_col, text_col).select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
-    words_in = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    alone = docs.where(~words_in | F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    every = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words_in = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    alone = every.where(~words_in | F.col("doc_id").isNull())
     return found.unionByName(alone.mapInArrow(_sizes(words), "doc_id long, n_shingles long").withColumn("component_id", F.col("doc_id")))
 
 

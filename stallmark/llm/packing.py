@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallmark.llm.kernels import ragged, slices
+from stallmark.llm.kernels import picked, ragged, slices
 from stallmark.llm.tokens import word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -141,5 +141,5 @@ def pack(docs: DataFrame, length: int = 4096, vocabulary: str | None = None, end
         if packer.rows:
             yield packer.take()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

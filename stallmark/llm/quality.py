@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from stallmark.llm.kernels import Words, mix, ragged, segment_hashes, slices
+from stallmark.llm.kernels import Words, mix, picked, ragged, segment_hashes, slices
 
 PASSAGE, PAIRS, HIDDEN, GATE = 64, 96, 24, 16
 #: Bytes of text whose features are made at once: some 100 bytes of memory for each.
@@ -172,9 +172,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model of labels.label_col; None without labelled documents. Reads `sample` documents at most."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("label"))
+    known = picked(labels, i=id_col, label=label_col).where("label is not null and i is not null").groupBy("i").agg(F.max("label").cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "i").select("label", "text", F.xxhash64("i", "text").alias("key"))
+    rows = picked(docs, i=id_col, text=text_col).select("i", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "i").select("label", "text", F.xxhash64("i", "text").alias("key"))
     got = rows.mapInArrow(_features, "label int, n long, x array<float>, key long").toArrow()
     if not got.num_rows:
         return None

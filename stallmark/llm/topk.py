@@ -14,13 +14,15 @@ rows. Scores beyond the range of a long are clamped to it. Extra columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallmark.llm.kernels import picked
+
 EXACT, MOST = float(1 << 53), float(np.finfo(np.float64).max)
 
 
@@ -90,8 +92,11 @@ def _search(k: int, scale: float, block: int):
     return run
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, group_rows: int = 8192, dims_per_block: int = 16) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best candidates of each query row, ties to the smaller id."""
+def exact_top_k(vectors: DataFrame, is_query: Column | Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, group_rows: int = 8192, dims_per_block: int = 16) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best candidates of each query row, ties to the smaller id. is_query is a
+    function of the id, or a Column of the table, whose names must then be plain."""
+    if callable(is_query):
+        vectors, is_query, id_col, vector_col = picked(vectors, id=id_col, v=vector_col), is_query(F.col("id")), "id", "v"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id is not null and v is not null")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     groups = max(1, -(-vectors.count() // group_rows))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.llm.graph import components
-from stallmark.llm.kernels import mix, signed
+from stallmark.llm.kernels import mix, picked, signed
 from stallmark.llm.scratch import materialize, release, spread_join
 
 
@@ -191,7 +191,7 @@ def _triples(out: list[tuple]) -> pa.RecordBatch:
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = picked(vectors, id=id_col, v=vector_col).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite, F.lit(False)))
     rows = rows.select("id", "ok", F.when(F.col("ok"), F.xxhash64("v")).alias("h"), F.when(F.col("ok"), F.xxhash64(F.lit(7), "v")).alias("h2"), "v")

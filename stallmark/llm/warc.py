@@ -17,12 +17,17 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stallmark.llm.kernels import picked
 from stallmark.llm.scratch import materialize, spread_join
 
-MAGIC = "WARC/1.1\r\n"
+#: The version that is written.
+VERSION = "1.1"
+MAGIC = f"WARC/{VERSION}\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: The profile URI of WARC 1.1 and the alphabet of base32 (RFC 4648).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +48,7 @@ def _field(name: str, value: Column) -> Column:
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, records_per_file: int = 2000, compression: str = "gzip") -> None:
     """Writes the archives. Groups of equal payloads are found on (id, digest, size) alone, and pages learn what they revisit
     by id and payload, so that a hot payload is spread over tasks. A revisit record names the length of the payload."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = picked(pages, id=id_col, url=url_col, html=html_col).select(F.col("id").cast("long").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html")})
     payload = ["digest", "size"]
     narrow = materialize(rows.where(F.col("size") >= min_payload).groupBy("id", *payload).agg(F.count("*").alias("n")), "warc-payloads")
@@ -78,18 +83,25 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     writer.option("compression", compression).text(path)
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
+def version_of(spark: SparkSession, path: str) -> str:
+    """What the first line of an archive says; all archives of a path must say the same."""
+    first = spark.read.text(path).first()
+    found = re.match(r"WARC/(\d+\.\d+)\r?$", first.value) if first else None
+    return found[1] if found else VERSION
+
+
+def _pieces(spark: SparkSession, path: str, magic: str) -> DataFrame:
     """Every piece between two magics: file, off (of its magic), succ (from its Content-Length; null without one),
     head and value. What comes from the value is taken before the window, so that a reader of offsets moves no payload."""
-    read = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    read = spark.read.option("lineSep", magic).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
     head = F.substring_index("value", "\r\n\r\n", 1)
     length = F.expr(r"try_cast(nullif(regexp_extract(head, '(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]+)', 1), '') as long)")
     whole = F.col("value").contains("\r\n\r\n")
-    read = read.withColumn("head", head).withColumn("size", F.octet_length("value") + len(MAGIC))
-    read = read.withColumn("span", F.when(whole, F.octet_length("head") + len(MAGIC) + 8 + length))
+    read = read.withColumn("head", head).withColumn("size", F.octet_length("value") + len(magic))
+    read = read.withColumn("span", F.when(whole, F.octet_length("head") + len(magic) + 8 + length))
     order = Window.partitionBy("file").orderBy("block", "nth")
     begin = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = read.withColumn("off", begin - len(MAGIC)).where("off >= 0")
+    pieces = read.withColumn("off", begin - len(magic)).where("off >= 0")
     return pieces.select("file", "off", "head", "value", (F.col("off") + F.col("span")).alias("succ"))
 
 
@@ -112,20 +124,21 @@ def _reached(pieces: DataFrame) -> DataFrame:
     return spans.agg(F.array_sort(F.collect_list(F.struct("entry", "last"))).alias("spans"))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
     """One row per record that the chain reaches: file, offset, record_type, record_id, refers_to (both the page id
     as long), target_uri, payload_digest (from the header), payload_length (of the full payload: a revisit says it, null if it does
-    not), payload (binary; after the HTTP head)."""
-    pieces = _pieces(spark, path)
+    not), payload (binary; after the HTTP head). `version` of the records, as 1.0, is that of the first line unless given."""
+    magic = f"WARC/{version or version_of(spark, path)}\r\n"
+    pieces = _pieces(spark, path, magic)
     linked = pieces.join(_reached(pieces), "file")
     order = Window.partitionBy("file").orderBy("off")
     hit = F.exists("spans", lambda s: (F.col("off") >= s["entry"]) & (F.col("off") <= s["last"]))
     of = F.max(F.when(F.col("hit"), F.col("off"))).over(order)
     parts = linked.withColumn("hit", hit).withColumn("of", of).where("of is not null").groupBy("file", "of")
     records = parts.agg(F.min_by("head", "off").alias("head"), F.min_by("succ", "off").alias("succ"), F.array_sort(F.collect_list(F.struct("off", F.col("value").cast("binary").alias("value")))).alias("parts"))
-    glued = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, F.lit(MAGIC.encode()), p["value"]))
+    glued = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, F.lit(magic.encode()), p["value"]))
     records = records.withColumn("bytes", glued).where((F.octet_length("bytes") >= F.col("succ") - F.col("of") - 4))
-    start = len(MAGIC) + F.octet_length("head") + 5
+    start = len(magic) + F.octet_length("head") + 5
     block = F.expr("substring(bytes, start, succ - of - start - 3)")
     records = records.withColumn("start", start).withColumn("block", block)
     http = F.octet_length(F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1)) + 4
