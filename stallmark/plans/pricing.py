@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallmark.operators import scoring, state, statistics
 from stallmark.operators.comparables import newest_pool, pool_pairs
+from stallmark.operators.range_join import Near, near_pairs
 from stallmark.operators.selection import exact_percentiles
 from stallmark.plans import views
 
@@ -71,6 +72,27 @@ def comparables_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPARABLES_RANGE = _pairs_sql("brand, category, currency", "abs(a.size - b.size) <= 2", "count(*) AS n, round(median(b.price), 4) AS median_price")
 
 
+def _vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent listings as cars: a model, a year and a mileage, the last two not always known."""
+    r = views.recent(spark, sf_dir)
+    year = F.when(F.col("quantity") % 11 != 0, 1980 + F.col("size") % 35)
+    return r.select("listing_id", "brand", F.substring_index("category", " ", 1).alias("model"), year.cast("int").alias("year"), F.when(F.col("l_suppkey") % 13 != 0, F.col("l_extendedprice") * 3).alias("mileage"), "price", "item_condition")
+
+
+def comparables_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per recent listing, all others of its brand and model within two years and within 30,000 km or 35 % of its own
+    mileage, unknown values near all, damaged ones left out: how many, and their median price."""
+    cars = _vehicles(spark, sf_dir)
+    pairs = near_pairs(cars.drop("price", "item_condition"), cars.where("item_condition <> 'damaged'").drop("item_condition"), ["brand", "model"], [Near("year", 2), Near("mileage", 30_000, 0.35)])
+    return pairs.groupBy(F.col("target.listing_id").alias("listing_id")).agg(F.count("*").alias("n"), F.round(F.median("candidate.price"), 4).alias("median_price"))
+
+
+COMPARABLES_UNCAPPED = f"""WITH {views.RECENT}, v AS (SELECT listing_id, brand, split_part(category, ' ', 1) AS model, CASE WHEN quantity % 11 <> 0 THEN 1980 + size % 35 END AS year,
+ CASE WHEN l_suppkey % 13 <> 0 THEN l_extendedprice * 3 END AS mileage, price, item_condition FROM recent)
+ SELECT a.listing_id, count(*) AS n, round(median(b.price), 4) AS median_price FROM v a JOIN v b ON a.brand = b.brand AND a.model = b.model AND a.listing_id <> b.listing_id AND b.item_condition <> 'damaged'
+ AND (a.year IS NULL OR b.year IS NULL OR abs(a.year - b.year) <= 2) AND (a.mileage IS NULL OR b.mileage IS NULL OR abs(a.mileage - b.mileage) <= greatest(30000, a.mileage * 0.35)) GROUP BY a.listing_id"""
+
+
 def comparables_null_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per recent listing, how many of the newest others of its brand and category have its place, or an unknown one on
     either side."""

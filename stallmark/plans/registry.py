@@ -6,7 +6,7 @@ from stallmark.plans import captures, listings, pricing, stream, texts, transiti
 
 #: Query functions by module; the SQL of each is the constant of its name in capitals, where there is one.
 NAMES = {
-    pricing: ["market_statistics", "price_statistics", "price_percentiles", "comparables_range", "comparables_null_tolerant", "top250_pool", "deterministic_score", "verdict_distribution", "combined_score", "price_changes", "price_histories", "price_drop"],
+    pricing: ["market_statistics", "price_statistics", "price_percentiles", "comparables_range", "comparables_uncapped", "comparables_null_tolerant", "top250_pool", "deterministic_score", "verdict_distribution", "combined_score", "price_changes", "price_histories", "price_drop"],
     texts: ["normalize_title", "nullable_text", "redact_text", "normalize_url", "parse_price", "mileage", "fingerprint", "content_change", "token_similarity", "places", "model_signature", "categories", "extract_vehicle", "extract_gpu", "extract_notebook", "extract_generic", "filter_reason_lists"],
     listings: ["dedup_first", "union_batches", "invalid_rows", "latest_analysis", "canonical_pairs", "one_notification", "resolve_identity", "cross_match", "similar_titles", "exclude_cross_posts", "greedy_collapse", "due_searches", "needs_details", "claim_transition", "search_links", "upsert_snapshot", "suppress", "recent_listings", "search_report", "deal_report"],
     captures: ["facebook_cards", "olx_cards", "mercadolivre_cards", "facebook_pages", "json_ld", "listed_attributes", "api_items", "api_details", "api_pages", "page_source", "search_order", "merged_details", "first_party_ids", "gate_reasons", "details_reasons", "matching_details", "numbers_or_errors", "category_data"],
