@@ -1,36 +1,73 @@
-"""A stream run to its end as a query."""
+"""Streams run to their end as queries."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallmark.plans import views
-from stallmark.streaming import prices
+from stallmark.shared import fresh_path
+from stallmark.streaming import ordered, prices
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Steps in which late rows arrive, and the share of the whole time span by which they are late at most.
+STEPS, LATE = 3, 0.1
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def run_out(stream: DataFrame, where: str) -> None:
+    """Runs a stream of files until none is left, into Parquet."""
+    stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change points of the price observations, read as a stream of files until no file is left."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    where = f"{base}/price-stream-{uuid.uuid4().hex}"
+    where = fresh_path(spark, "price-stream")
     views.price_obs(spark, sf_dir).select("listing_id", "seq", F.col("observed_at"), "price").write.parquet(f"{where}/in")
     kind = "listing_id string, seq long, observed_at timestamp_ntz, price double"
-    out = prices.price_changes(spark.readStream.schema(kind).parquet(f"{where}/in"))
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    try:
-        run = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    with rocksdb(spark):
+        run_out(prices.price_changes(spark.readStream.schema(kind).parquet(f"{where}/in")), where)
     return spark.read.schema(prices.CHANGE).parquet(f"{where}/out")
 
 
+def _micros() -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("observed_at"))
+
+
+def stream_late_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same change points where observations come in three steps, each late by up to a tenth of the whole time: what a
+    step lacks of its time comes with the next. A last message far ahead ends the stream."""
+    where = fresh_path(spark, "late-prices")
+    rows = views.price_obs(spark, sf_dir).select("listing_id", "seq", _micros().alias("micros"), "price")
+    first, last = rows.agg(F.min("micros"), F.max("micros")).first()
+    late = int((last - first) * LATE) + 1
+    arrival = F.col("micros") + F.pmod(F.xxhash64("seq"), F.lit(late))
+    step = F.floor((arrival - first) * STEPS / (last - first + late + 1))
+    rows.withColumn("step", step).write.partitionBy("step").parquet(f"{where}/all")
+    kind = "listing_id string, seq long, micros long, price double"
+    end = spark.createDataFrame([("", -1, last + 2 * late + 2_000_000, None)], kind)
+    with rocksdb(spark):
+        for n in range(STEPS):
+            batch = spark.read.schema(kind).parquet(f"{where}/all/step={n}")
+            (batch.unionByName(end) if n == STEPS - 1 else batch).write.mode("append").parquet(f"{where}/in")
+            run_out(ordered.ordered_price_changes(spark.readStream.schema(kind).parquet(f"{where}/in"), f"{late + 1000} microseconds"), where)
+    out = spark.read.schema(ordered.CHANGE).parquet(f"{where}/out")
+    return out.select("listing_id", "seq", F.timestamp_add("MICROSECOND", F.col("micros"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("observed_at"), "price")
+
+
 from stallmark.plans.pricing import PRICE_CHANGES as STREAM_PRICE_CHANGES  # noqa: E402, F401  the same rows as the batch query
+
+STREAM_LATE_PRICES = STREAM_PRICE_CHANGES
