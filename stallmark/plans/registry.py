@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallmark.plans import captures, listings, pricing, stream, texts, transitions
+from stallmark.plans import captures, documents, listings, pricing, stream, texts, transitions
 
 #: Query functions by module; the SQL of each is the constant of its name in capitals, where there is one.
 NAMES = {
@@ -11,6 +11,7 @@ NAMES = {
     listings: ["dedup_first", "union_batches", "invalid_rows", "latest_analysis", "canonical_pairs", "one_notification", "resolve_identity", "cross_match", "similar_titles", "exclude_cross_posts", "greedy_collapse", "due_searches", "needs_details", "claim_transition", "search_links", "upsert_snapshot", "suppress", "recent_listings", "search_report", "deal_report"],
     captures: ["facebook_cards", "olx_cards", "mercadolivre_cards", "facebook_pages", "json_ld", "listed_attributes", "api_items", "api_details", "api_pages", "page_source", "search_order", "merged_details", "first_party_ids", "gate_reasons", "details_reasons", "matching_details", "numbers_or_errors", "category_data"],
     transitions: ["fenced_updates", "updated_details", "saved_extractions", "saved_analyses", "reused_analyses", "settled_notifications", "leased_searches", "saved_matches", "merged_supplements", "search_reasons", "search_definitions", "legacy_searches", "table_checks", "comparables_vehicle", "comparables_gpu", "comparables_notebook", "comparables_electronics"],
+    documents: ["document_reasons", "kept_answers", "extraction_rejects"],
     stream: ["stream_price_changes", "stream_late_prices"],
 }
 QUERIES = {name: getattr(module, name) for module, names in NAMES.items() for name in names}
