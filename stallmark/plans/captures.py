@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stallmark import shared
 from stallmark.functions.numbers import parse_price
 from stallmark.functions.urls import first_party_id, short_url
-from stallmark.operators import validation
+from stallmark.operators import runs, validation
 from stallmark.plans import views
 from stallmark.sources import pages, parsers, registry
 
@@ -303,3 +303,28 @@ def search_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEARCH_ORDER = """WITH r AS (SELECT p_partkey AS seq, concat('MLB', p_size, '-', p_brand, p_partkey % 97) AS external_id, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS price FROM part),
  f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY seq) = 1) SELECT * FROM f WHERE price IS NULL OR price BETWEEN 1000 AND 1500 ORDER BY seq LIMIT 200"""
+
+
+_HOST = "CASE WHEN l_partkey % 5 = 0 THEN 'https://example.com/' WHEN source = 'facebook' THEN 'https://www.facebook.com/marketplace/item/' WHEN source = 'olx' THEN 'https://sc.olx.com.br/item-' ELSE 'https://produto.mercadolivre.com.br/MLB-' END"
+_PROVIDER = "CASE WHEN l_partkey % 9 = 0 THEN 'facebook' ELSE source END"
+
+
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all arrivals, written once, and what it counted on the way: received, turned away by reason, discovered and
+    analysed (those with a price)."""
+    rows = views.feed(spark, sf_dir).withColumns(
+        {
+            "provider": F.expr(_PROVIDER), "url": F.concat(F.expr(_HOST), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")), "seq": F.xxhash64(*views.ARRIVAL), "image_url": F.when(F.col("l_suppkey") % 4 == 0, "ftp://x/y"),
+            "price": F.when(F.col("l_orderkey") % 53 == 0, -1.0).otherwise(F.col("price")), "currency": F.when(F.col("l_suppkey") % 5 == 0, "R$").otherwise(F.col("currency")),
+        }
+    )
+    counters = runs.Counters()
+    out = runs.counted_run(rows, F.col("provider"), lambda found: found.where("price is not null"), counters)
+    out.select("source", "external_id", "url", "price").write.parquet(shared.fresh_path(spark, "run"))
+    return counters.table(spark)
+
+
+RUN_COUNTERS = f"""WITH {views.FEED}, r AS (SELECT *, {_PROVIDER} AS provider, concat({_HOST}, l_orderkey, '-', l_linenumber) AS own_url, CASE WHEN l_orderkey % 53 = 0 THEN -1 ELSE price END AS p, l_suppkey % 5 = 0 AS bad_currency, l_suppkey % 4 = 0 AS bad_image FROM feed),
+ j AS (SELECT *, source <> provider AS bad_provider, l_partkey % 5 = 0 AS bad_host, coalesce(p < 0, false) AS bad_price FROM r), g AS (SELECT * FROM j WHERE NOT (bad_currency OR bad_image OR bad_provider OR bad_host OR bad_price)),
+ d AS (SELECT DISTINCT source, coalesce(external_id, own_url) AS identity, p IS NOT NULL AS priced FROM g), c AS (SELECT 'received' AS stage, unnest([{", ".join(f"{{'counter': '{n}', 'n': {e}}}" for n, e in {"rows": "count(*)", "rejected": "count(*) FILTER (bad_currency OR bad_image OR bad_provider OR bad_host OR bad_price)", **{f"rejected_{r}": f"count(*) FILTER ({'bad_' + dict(image_url='image').get(r, r)})" if r in ("price", "currency", "image_url", "provider", "host") else "0" for r in runs.REASONS}}.items())}]) AS x FROM j)
+ SELECT stage, x.counter AS counter, x.n AS n FROM c UNION ALL SELECT 'discovered', 'rows', count(*) FROM d UNION ALL SELECT 'analysed', 'rows', count(*) FROM d WHERE priced"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallmark.analyzers import Listing
@@ -12,10 +14,12 @@ from stallmark.analyzers.notebook import NotebookAnalyzer
 from stallmark.analyzers.registry import detect_category
 from stallmark.analyzers.vehicle import VehicleAnalyzer
 from stallmark.functions.hashing import input_hash
-from stallmark.operators import matching, state, validation
+from stallmark.operators import leases, matching, state, validation
 from stallmark.operators.comparables import comparable_pairs
+from stallmark.operators.snapshot_store import SnapshotStore
 from stallmark.plans import texts, views
 from stallmark.schema import LISTING, VERDICTS
+from stallmark.shared import fresh_path, stored
 
 _AT = "TIMESTAMP '2001-11-05 00:00:00'"
 
@@ -137,6 +141,49 @@ LEASED_SEARCHES = f"""WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN
  SELECT k AS search_id, id AS run_lease_id, until AS run_lease_expires_at, CASE WHEN id <> 'mine' THEN id END AS "left", CASE WHEN id = 'mine' THEN {_AT} END AS last_run_at FROM o"""
 
 
+def lease_contention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a call of one of three workers on its user's search: sign-ups and clicks want the lease, views renew it,
+    purchases complete a run and errors fail it. Every fourth caller last read the search when someone last bought."""
+    e, u = views.table(spark, sf_dir, "events"), F.col("user_id")
+    before = F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    kind = F.when(F.col("event_type") == "view", "renew").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("acquire")
+    calls = e.select(u.alias("search_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("lease_id"), before.alias("seen_last_run_at"), (F.col("event_id") % 4 != 0).alias("fresh"))
+    held = u % 3 == 1
+    rows = e.groupBy("user_id").agg(F.min("ts").alias("ts")).select(u.alias("search_id"), (u % 7 != 0).alias("active"), F.when(held, "w1").alias("run_lease_id"), F.when(held, F.col("ts") + F.make_dt_interval(hours=F.lit(40))).alias("run_lease_expires_at"), F.lit(None).cast("timestamp_ntz").alias("last_run_at"))
+    return leases.replay(rows, calls, minutes=1200)
+
+
+LEASE_CONTENTION = """WITH RECURSIVE c AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'renew' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'acquire' END AS kind, concat('w', event_id % 3) AS w, event_id % 4 <> 0 AS fresh,
+ max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, min(ts) OVER (PARTITION BY user_id) AS t0 FROM events),
+ s AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, 0::BIGINT AS fence, CASE WHEN user_id % 3 = 1 THEN 'w1' END AS holder, CASE WHEN user_id % 3 = 1 THEN t0 + INTERVAL 40 HOUR END AS expires, NULL::TIMESTAMP AS last_run FROM c WHERE n = 1 UNION ALL
+ SELECT user_id, n, event_id, o, fence + (o = 'granted')::INT, CASE o WHEN 'granted' THEN w WHEN 'released' THEN NULL ELSE holder END, CASE WHEN o IN ('granted', 'renewed') THEN ts + INTERVAL 1200 MINUTE WHEN o = 'released' THEN NULL ELSE expires END, CASE WHEN o = 'released' AND kind = 'complete' THEN ts ELSE last_run END
+ FROM (SELECT c.*, s.fence, s.holder, s.expires, s.last_run, CASE WHEN kind = 'acquire' THEN CASE WHEN c.user_id % 7 = 0 OR NOT fresh AND last_run IS DISTINCT FROM seen OR holder IS NOT NULL AND expires > ts THEN 'refused' ELSE 'granted' END
+ WHEN holder IS DISTINCT FROM w THEN CASE WHEN kind = 'renew' THEN 'lost' ELSE 'missed' END WHEN kind = 'renew' THEN 'renewed' ELSE 'released' END AS o FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1))
+ SELECT user_id::VARCHAR AS search_id, seq, outcome, fence, holder, expires AS expires_at, last_run AS last_run_at FROM s WHERE n > 0"""
+
+
+def snapshot_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored snapshot after a batch of all even lines and, a day later, one of some odd and some cheaper even lines, which
+    then comes once more with other prices: every listing with its price, first and last sight and price points."""
+    rows = stored(views.listing(spark, sf_dir).select("listing_id", "source", "external_id", "title", "price", "currency", "location", "url", "category", "l_linenumber", "l_orderkey"), "listings")
+    n, order = F.col("l_linenumber"), F.col("l_orderkey")
+    batch = lambda df, price: df.select(F.xxhash64("listing_id").alias("seq"), "source", "external_id", "title", price.alias("price"), "currency", "location", "url", F.lit(None).cast("string").alias("image_url"), "category")
+    store = SnapshotStore(spark, fresh_path(spark, "snapshot"), buckets=32)
+    store.apply(1, batch(rows.where(n % 2 == 0), F.col("price")), views.AS_OF)
+    second = rows.where((n % 2 == 1) & (order % 64 == 1) | (n % 4 == 2) & (order % 64 == 3))
+    for cut in (1.0, 500.0):
+        store.apply(2, batch(second, F.col("price") - cut), views.AS_OF + timedelta(days=1))
+    points = store.history().groupBy("listing_id").agg(F.count("*").alias("points"))
+    out = store.snapshot().join(points, "listing_id", "left")
+    return out.select("listing_id", F.round("price", 2).alias("price"), "first_seen_at", "last_seen_at", F.coalesce("points", F.lit(0)).alias("points"))
+
+
+SNAPSHOT_BATCHES = f"""WITH {views.LISTING}, a AS (SELECT listing_id, price FROM listing WHERE l_linenumber % 2 = 0),
+ b AS (SELECT listing_id, price - 1 AS price FROM listing WHERE l_linenumber % 2 = 1 AND l_orderkey % 64 = 1 OR l_linenumber % 4 = 2 AND l_orderkey % 64 = 3)
+ SELECT listing_id, round(CASE WHEN b.listing_id IS NULL THEN a.price ELSE b.price END, 2) AS price, CASE WHEN a.listing_id IS NULL THEN {_AT} + INTERVAL 1 DAY ELSE {_AT} END AS first_seen_at,
+ CASE WHEN b.listing_id IS NULL THEN {_AT} ELSE {_AT} + INTERVAL 1 DAY END AS last_seen_at, (a.price IS NOT NULL)::BIGINT + (b.price IS NOT NULL)::BIGINT AS points FROM a FULL JOIN b USING (listing_id)"""
+
+
 def saved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match table after a run: pairs put in order, of live listings, the newest confidence for each."""
     k, name = F.col("p_partkey"), lambda c: F.lpad(c.cast("string"), 9, "0")
