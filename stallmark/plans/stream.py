@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stallmark.plans import views
 from stallmark.shared import fresh_path
-from stallmark.streaming import ordered, prices
+from stallmark.streaming import ordered, outbox, prices
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: Steps in which late rows arrive, and the share of the whole time span by which they are late at most.
@@ -68,6 +68,22 @@ def stream_late_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("listing_id", "seq", F.timestamp_add("MICROSECOND", F.col("micros"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("observed_at"), "price")
 
 
+def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of all purchases, two to a number, that come in two steps: what reaches the outbox, each number once."""
+    where = fresh_path(spark, "outbox")
+    e = views.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    message = F.floor(F.col("event_id") / 4).alias("notification_id")
+    rows = e.select(message, F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 2).alias("step"))
+    kind = "notification_id long, at timestamp"
+    for n in (0, 1):
+        rows.where(F.col("step") == n).drop("step").write.mode("append").parquet(f"{where}/in")
+        outbox.fill_outbox(spark.readStream.schema(kind).parquet(f"{where}/in"), f"{where}/out", f"{where}/checkpoint", "notification_id", "at", "400 days").awaitTermination()
+    return outbox.read_outbox(spark, f"{where}/out", kind).select("notification_id")
+
+
+STREAM_OUTBOX = "SELECT DISTINCT event_id // 4 AS notification_id FROM events WHERE event_type = 'purchase'"
+
+
 from stallmark.plans.pricing import PRICE_CHANGES as STREAM_PRICE_CHANGES  # noqa: E402, F401  the same rows as the batch query
 
 STREAM_LATE_PRICES = STREAM_PRICE_CHANGES

@@ -15,7 +15,7 @@ from stallmark.analyzers.registry import detect_category
 from stallmark.analyzers.vehicle import VehicleAnalyzer
 from stallmark.functions.hashing import input_hash
 from stallmark.operators import leases, matching, state, validation
-from stallmark.operators.comparables import comparable_pairs
+from stallmark.operators.comparables import comparable_pairs, eligible
 from stallmark.operators.snapshot_store import SnapshotStore
 from stallmark.plans import texts, views
 from stallmark.schema import LISTING, VERDICTS
@@ -295,6 +295,31 @@ def comparables_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPARABLES_VEHICLE = _comparables_sql(0, "abs(t.p_size % 35 - c.p_size % 35) <= 2 AND abs(t.p_size - c.p_size) * 1000 <= greatest(30000, t.p_size * 350)")
 
 
+#: What keeps an advertisement out of the pool: one of seven faults, or none, by a number mixed from key, size and price.
+_FAULT = "(p_partkey * 7919 + p_size * 104729 + cast(p_retailprice * 100 AS BIGINT)) % 13"
+
+
+def comparables_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cars compared with what may be compared: of the pool, rows that are inactive, suppressed, long unseen, without price or
+    without extraction are left out before the newest 250 are taken; targets are all that are not suppressed and extracted."""
+    analyzer, k, fault = VehicleAnalyzer(), F.col("p_partkey"), F.expr(_FAULT)
+    rows = texts.ads(spark, sf_dir).join(views.table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_partkey").where(k % 4 == 0)
+    data = analyzer.extract(Listing(F.col("title"), F.col("description"), F.col("attributes")))
+    rows = rows.select(
+        k.alias("listing_id"), F.lit("vehicle").alias("category"), F.lit("BRL").alias("currency"), F.when(fault == 1, 0.0).when(fault != 2, F.col("p_retailprice")).alias("price"),
+        (F.lit(views.AS_OF) - F.make_dt_interval(days=F.when(fault == 3, 91).otherwise(0).cast("int"), hours=(k % 300).cast("int"))).alias("last_seen_at"),
+        (fault != 4).alias("active"), F.when(fault == 5, F.lit(views.AS_OF)).alias("suppressed_at"), F.when(fault != 6, data).alias("data"),
+    )
+    pairs = comparable_pairs(rows.where("suppressed_at is null and data is not null"), rows.where(eligible(views.AS_OF, 90)), analyzer)
+    return pairs.groupBy(F.col("target.listing_id").alias("listing_id")).agg(F.count("*").alias("n"), F.round(F.median("candidate.price") + 1e-7, 4).alias("median_price"))
+
+
+COMPARABLES_ELIGIBLE = f"""WITH ad AS (SELECT *, {_FAULT} AS fault, {_AT} - INTERVAL (p_partkey % 300) HOUR AS seen FROM part WHERE p_partkey % 4 = 0),
+ pool AS (SELECT *, row_number() OVER (ORDER BY seen DESC, p_partkey) AS r FROM ad WHERE fault NOT IN (1, 2, 3, 4, 5, 6)), t AS (SELECT ad.*, r FROM ad LEFT JOIN pool USING (p_partkey) WHERE ad.fault NOT IN (5, 6))
+ SELECT t.p_partkey AS listing_id, count(*) AS n, round(median(c.p_retailprice) + 1e-7, 4) AS median_price FROM t JOIN pool c ON t.p_partkey <> c.p_partkey AND c.r - coalesce((c.r > t.r)::INT, 0) <= 250
+ AND abs(t.p_size % 35 - c.p_size % 35) <= 2 AND abs(t.p_size - c.p_size) * 1000 <= greatest(30000, t.p_size * 350) GROUP BY t.p_partkey"""
+
+
 def comparables_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparables(spark, sf_dir, GpuAnalyzer())
 
