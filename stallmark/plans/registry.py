@@ -12,7 +12,7 @@ NAMES = {
     captures: ["facebook_cards", "olx_cards", "mercadolivre_cards", "facebook_pages", "json_ld", "listed_attributes", "api_items", "api_details", "api_pages", "page_source", "search_order", "merged_details", "first_party_ids", "gate_reasons", "details_reasons", "matching_details", "numbers_or_errors", "category_data", "run_counters"],
     transitions: ["fenced_updates", "updated_details", "snapshot_batches", "saved_extractions", "saved_analyses", "reused_analyses", "settled_notifications", "leased_searches", "lease_contention", "saved_matches", "merged_supplements", "search_reasons", "search_definitions", "legacy_searches", "table_checks", "comparables_vehicle", "comparables_eligible", "comparables_gpu", "comparables_notebook", "comparables_electronics"],
     documents: ["document_reasons", "kept_answers", "extraction_rejects"],
-    stream: ["stream_price_changes", "stream_late_prices", "stream_outbox"],
+    stream: ["stream_price_changes", "stream_late_prices", "stream_outbox", "stream_schedule"],
 }
 QUERIES = {name: getattr(module, name) for module, names in NAMES.items() for name in names}
 ORACLE_SQL = {name: getattr(module, name.upper()) for module, names in NAMES.items() for name in names if hasattr(module, name.upper())}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stallmark.plans import views
 from stallmark.shared import fresh_path
-from stallmark.streaming import ordered, outbox, prices
+from stallmark.streaming import ordered, outbox, prices, scheduler
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: Steps in which late rows arrive, and the share of the whole time span by which they are late at most.
@@ -43,8 +43,12 @@ def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(prices.CHANGE).parquet(f"{where}/out")
 
 
-def _micros() -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("observed_at"))
+def _micros(time: str = "observed_at") -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time))
+
+
+def _time(micros: str) -> Column:
+    return F.timestamp_add("MICROSECOND", F.col(micros), F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
 def stream_late_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def stream_late_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
             (batch.unionByName(end) if n == STEPS - 1 else batch).write.mode("append").parquet(f"{where}/in")
             run_out(ordered.ordered_price_changes(spark.readStream.schema(kind).parquet(f"{where}/in"), f"{late + 1000} microseconds"), where)
     out = spark.read.schema(ordered.CHANGE).parquet(f"{where}/out")
-    return out.select("listing_id", "seq", F.timestamp_add("MICROSECOND", F.col("micros"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("observed_at"), "price")
+    return out.select("listing_id", "seq", _time("micros").alias("observed_at"), "price")
 
 
 def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +88,38 @@ def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_OUTBOX = "SELECT DISTINCT event_id // 4 AS notification_id FROM events WHERE event_type = 'purchase'"
 
 
+def stream_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticks at which searches start: a user's search is defined a second before the first event, purchases complete a
+    run and errors fail it. Messages come in two steps, late by up to a tenth of the whole time."""
+    where, u = fresh_path(spark, "schedule"), F.col("user_id")
+    e = views.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", _micros("ts").alias("micros"))
+    none, second = (lambda kind: F.lit(None).cast(kind)), 1_000_000
+    define = e.groupBy("user_id").agg((F.min("micros") - second).alias("micros")).select(u.cast("string").alias("search_id"), "micros", F.lit(-1).cast("long").alias("seq"), F.lit("define").alias("kind"), (60 + u % 5 * 60).alias("interval_minutes"), (u % 7 != 0).alias("active"), none("long").alias("last_run_micros"))
+    finish = e.where(F.col("event_type").isin("purchase", "error")).select(u.cast("string").alias("search_id"), "micros", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "complete").otherwise("fail").alias("kind"), none("long").alias("interval_minutes"), none("boolean").alias("active"), none("long").alias("last_run_micros"))
+    rows = define.unionByName(finish)
+    first, last = e.agg(F.min("micros") - second, F.max("micros")).first()
+    late = -(-int((last - first) * LATE) // scheduler.MINUTE) + 1
+    arrival = F.col("micros") + F.pmod(F.xxhash64("seq", "search_id"), F.lit((late - 1) * scheduler.MINUTE + 1))
+    rows.withColumn("step", (arrival > (first + last) // 2).cast("int")).write.partitionBy("step").parquet(f"{where}/all")
+    kind = f"search_id string, {scheduler.MESSAGE}"
+    end = spark.createDataFrame([("", (-(-last // scheduler.MINUTE) + late) * scheduler.MINUTE, -2, "define", 1, False, None)], kind)
+    with rocksdb(spark):
+        for n in (0, 1):
+            batch = spark.read.schema(kind).parquet(f"{where}/all/step={n}")
+            (batch.unionByName(end) if n else batch).write.mode("append").parquet(f"{where}/in")
+            run_out(scheduler.schedule(spark.readStream.schema(kind).parquet(f"{where}/in"), f"{late} minutes"), where)
+    return spark.read.schema(scheduler.STARTS).parquet(f"{where}/out").select("search_id", _time("due_micros").alias("due_at"))
+
+
+_TICK = "date_trunc('minute', {0}) + CASE WHEN date_trunc('minute', {0}) < {0} THEN INTERVAL 1 MINUTE ELSE INTERVAL 0 MINUTE END"
+STREAM_SCHEDULE = f"""WITH RECURSIVE d AS (SELECT user_id, min(ts) - INTERVAL 1 SECOND AS t0, (60 + user_id % 5 * 60)::INT AS iv, user_id % 7 <> 0 AS active FROM events GROUP BY user_id), m AS (SELECT max(ts) AS ts FROM events), z AS (SELECT {_TICK.format("ts")} + INTERVAL 1 MICROSECOND AS ts FROM m),
+ x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, ts, done FROM (SELECT user_id, ts, event_id, event_type = 'purchase' AS done FROM events WHERE event_type IN ('purchase', 'error') UNION ALL SELECT user_id, z.ts, NULL, NULL FROM d, z)),
+ s AS (SELECT user_id, 0::BIGINT AS n, false AS open, NULL::TIMESTAMP AS last, {_TICK.format("t0")} AS due, NULL::TIMESTAMP AS start FROM d UNION ALL
+ SELECT user_id, n, is_open AND NOT ends, new_last, CASE WHEN ends THEN {_TICK.format("greatest(ts, coalesce(new_last + to_minutes(iv), ts))")} ELSE due END, CASE WHEN fired THEN due END
+ FROM (SELECT *, CASE WHEN is_open AND done THEN ts ELSE last END AS new_last, is_open AND done IS NOT NULL AS ends FROM (SELECT x.*, iv, s.last, s.due, d.active AND NOT s.open AND s.due < x.ts AS fired, s.open OR d.active AND s.due < x.ts AS is_open FROM s JOIN x ON x.user_id = s.user_id AND x.n = s.n + 1 JOIN d ON d.user_id = s.user_id)))
+ SELECT user_id::VARCHAR AS search_id, start AS due_at FROM s WHERE start IS NOT NULL"""
+
+
 from stallmark.plans.pricing import PRICE_CHANGES as STREAM_PRICE_CHANGES  # noqa: E402, F401  the same rows as the batch query
 
 STREAM_LATE_PRICES = STREAM_PRICE_CHANGES
