@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallmark.plans import captures, documents, listings, pricing, stream, texts, transitions
+from stallmark.plans import answers, captures, documents, listings, pricing, stream, texts, transitions
 
 #: Query functions by module; the SQL of each is the constant of its name in capitals, where there is one.
 NAMES = {
@@ -12,6 +12,7 @@ NAMES = {
     captures: ["facebook_cards", "olx_cards", "mercadolivre_cards", "facebook_pages", "json_ld", "listed_attributes", "api_items", "api_details", "api_pages", "page_source", "search_order", "merged_details", "first_party_ids", "gate_reasons", "details_reasons", "matching_details", "numbers_or_errors", "category_data", "run_counters"],
     transitions: ["fenced_updates", "updated_details", "snapshot_batches", "saved_extractions", "saved_analyses", "reused_analyses", "settled_notifications", "leased_searches", "lease_contention", "saved_matches", "merged_supplements", "search_reasons", "search_definitions", "legacy_searches", "table_checks", "comparables_vehicle", "comparables_eligible", "comparables_gpu", "comparables_notebook", "comparables_electronics"],
     documents: ["document_reasons", "kept_answers", "extraction_rejects"],
+    answers: ["card_models", "inferred_models", "model_runs", "search_criteria"],
     stream: ["stream_price_changes", "stream_late_prices", "stream_outbox", "stream_schedule"],
 }
 QUERIES = {name: getattr(module, name) for module, names in NAMES.items() for name in names}

@@ -296,7 +296,7 @@ COMPARABLES_VEHICLE = _comparables_sql(0, "abs(t.p_size % 35 - c.p_size % 35) <=
 
 
 #: What keeps an advertisement out of the pool: one of seven faults, or none, by a number mixed from key, size and price.
-_FAULT = "(p_partkey * 7919 + p_size * 104729 + cast(p_retailprice * 100 AS BIGINT)) % 13"
+_FAULT = "(p_partkey * 7919 + p_size * 104729 + cast(floor(p_retailprice * 10 + 0.5) AS BIGINT)) % 13"
 
 
 def comparables_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
