@@ -24,13 +24,13 @@ DEDUP_FIRST = f"""WITH {views.FEED}, k AS (SELECT *, {_KEY} AS dedup_key FROM fe
 
 
 def union_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feeds of the three sources, deduplicated apart and together, by source."""
+    """The feeds of the three sources, deduplicated apart and together."""
     f = views.feed(spark, sf_dir)
     out = dedup.union_batches([f.where(F.col("source") == s) for s in SOURCES], views.ARRIVAL)
-    return out.groupBy("source").agg(F.count("*").alias("n"), F.count("external_id").alias("with_id"))
+    return out.select("source", "external_id", "l_orderkey", "l_linenumber", "price")
 
 
-UNION_BATCHES = f"WITH {views.LISTING} SELECT source, count(*) AS n, count(external_id) AS with_id FROM listing GROUP BY source"
+UNION_BATCHES = f"WITH {views.LISTING} SELECT source, external_id, l_orderkey, l_linenumber, price FROM listing"
 
 
 def invalid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,18 +86,18 @@ ONE_NOTIFICATION = """SELECT analysis_id, channel, sent_at, notification_id FROM
 
 
 def resolve_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later feed rows against a snapshot of the earlier ones: which listing each belongs to, by kind of key."""
+    """Later feed rows against a snapshot of the earlier ones: which listing each belongs to, if any."""
     f = views.feed(spark, sf_dir).withColumn("normalized_url", F.concat_ws("/", "l_orderkey", "l_linenumber"))
     day = F.lit("1998-01-01").cast("timestamp_ntz")
     old = f.where(F.col("seen_at") < day).select("source", "external_id", "normalized_url", F.concat_ws("/", "source", F.coalesce("external_id", F.concat(F.lit("u"), "normalized_url"))).alias("listing_id")).distinct()
     by = dedup.keep_first(old, ["listing_id"], ["normalized_url"])
     out = dedup.resolve_identity(f.where(F.col("seen_at") >= day), by)
-    return out.groupBy("source", F.col("external_id").isNotNull().alias("with_id")).agg(F.count("*").alias("n"), F.count("listing_id").alias("known"))
+    return out.select(*views.ARRIVAL, "listing_id")
 
 
 RESOLVE_IDENTITY = f"""WITH {views.FEED}, f AS (SELECT *, concat(l_orderkey::VARCHAR, '/', l_linenumber::VARCHAR) AS nu FROM feed), o AS (SELECT DISTINCT source, external_id, nu FROM f WHERE seen_at < TIMESTAMP '1998-01-01'),
- n AS (SELECT f.*, EXISTS (SELECT 1 FROM o WHERE o.source = f.source AND o.external_id = f.external_id) OR EXISTS (SELECT 1 FROM o WHERE o.source = f.source AND o.external_id IS NULL AND o.nu = f.nu) AS hit FROM f WHERE seen_at >= TIMESTAMP '1998-01-01')
- SELECT source, external_id IS NOT NULL AS with_id, count(*) AS n, count(*) FILTER (WHERE hit) AS known FROM n GROUP BY ALL"""
+ n AS (SELECT f.*, EXISTS (SELECT 1 FROM o WHERE o.source = f.source AND o.external_id = f.external_id) AS by_id, EXISTS (SELECT 1 FROM o WHERE o.source = f.source AND o.external_id IS NULL AND o.nu = f.nu) AS by_url FROM f WHERE seen_at >= TIMESTAMP '1998-01-01')
+ SELECT {", ".join(views.ARRIVAL)}, CASE WHEN by_id THEN concat(source, '/', external_id) WHEN by_url THEN concat(source, '/u', nu) END AS listing_id FROM n"""
 
 
 def _matchable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +185,10 @@ DUE_SEARCHES = f"""WITH {views.SEARCH}, r AS (SELECT *, CASE WHEN search_id % 9
 def needs_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.recent(spark, sf_dir).withColumn("last_checked_at", F.lit(views.AS_OF) - F.make_dt_interval(hours=(F.col("l_partkey") % 48).cast("int")))
     need = filters.needs_details(views.AS_OF, F.col("l_linenumber") == 1, F.col("size") == 1)
-    return r.groupBy("source", need.alias("needs")).agg(F.count("*").alias("n"))
+    return r.select("listing_id", need.alias("needs"))
 
 
-NEEDS_DETAILS = f"WITH {views.RECENT} SELECT source, l_linenumber = 1 OR size = 1 OR l_partkey % 48 > 24 AS needs, count(*) AS n FROM recent GROUP BY ALL"
+NEEDS_DETAILS = f"WITH {views.RECENT} SELECT listing_id, l_linenumber = 1 OR size = 1 OR l_partkey % 48 > 24 AS needs FROM recent"
 
 
 def claim_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,30 +240,31 @@ def snapshot(df: DataFrame) -> DataFrame:
 
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot of the even lines, some suppressed, after a batch of the odd lines and of half the even ones, some
-    of them cheaper: how many of each kind, and what their prices come to."""
+    of them cheaper: what becomes of each listing."""
     rows = views.listing(spark, sf_dir)
     n = F.col("l_linenumber")
     old = snapshot(rows.where(n % 2 == 0)).withColumn("suppressed_at", F.when(F.col("title").like("%STEEL%"), F.lit(views.AS_OF)))
     cheaper = F.when(F.col("l_orderkey") % 5 == 0, F.col("price") - 1).otherwise(F.col("price"))
     batch = rows.where((n % 2 == 1) | (n % 4 == 2)).select(F.xxhash64("listing_id").alias("seq"), "source", "external_id", "title", cheaper.alias("price"), "currency", "location", "url", F.lit(None).cast("string").alias("image_url"), "category")
     out = state.upsert_summaries(old, batch, views.AS_OF)
-    return out.groupBy("change").agg(F.count("*").alias("n"), F.count("price_point").alias("points"), F.round(F.sum("price"), 2).alias("total"))
+    return out.select("listing_id", "change", F.round("price_point", 2).alias("price_point"), F.round("price", 2).alias("price"))
 
 
 UPSERT_SNAPSHOT = f"""WITH {views.LISTING}, o AS (SELECT *, title LIKE '%STEEL%' AS gone FROM listing WHERE l_linenumber % 2 = 0), b AS (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN price - 1 ELSE price END AS np FROM listing WHERE l_linenumber % 2 = 1 OR l_linenumber % 4 = 2),
- j AS (SELECT CASE WHEN b.listing_id IS NULL THEN NULL WHEN o.listing_id IS NULL THEN 'new' WHEN o.gone THEN 'suppressed' WHEN o.price IS DISTINCT FROM b.np THEN 'changed' ELSE 'same' END AS change, o.price AS op, b.np FROM o FULL JOIN b USING (listing_id))
- SELECT change, count(*) AS n, count(*) FILTER (WHERE change IN ('new', 'changed') AND np IS NOT NULL) AS points, round(sum(CASE WHEN change IN ('new', 'changed', 'same') THEN np ELSE op END), 2) AS total FROM j GROUP BY change"""
+ j AS (SELECT coalesce(o.listing_id, b.listing_id) AS listing_id, CASE WHEN b.listing_id IS NULL THEN NULL WHEN o.listing_id IS NULL THEN 'new' WHEN o.gone THEN 'suppressed' WHEN o.price IS DISTINCT FROM b.np THEN 'changed' ELSE 'same' END AS change, o.price AS op, b.np FROM o FULL JOIN b ON o.listing_id = b.listing_id)
+ SELECT listing_id, change, CASE WHEN change IN ('new', 'changed') THEN round(np, 2) END AS price_point, round(CASE WHEN change IN ('new', 'changed', 'same') THEN np ELSE op END, 2) AS price FROM j"""
 
 
 def suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recent listings of one brand made tombstones: what is left, by source."""
+    """The recent listings, those of one brand made tombstones."""
     s = snapshot(views.recent(spark, sf_dir))
     gone = s.where(F.col("title").like("%Brand#11%")).select("listing_id")
     out = state.suppress(s, gone, views.AS_OF)
-    return out.groupBy("source").agg(F.count("suppressed_at").alias("suppressed"), F.count("price").alias("priced"), F.count_if("active").alias("active"))
+    return out.select("listing_id", "external_id", "title", "price", "location", "active", "suppressed_at")
 
 
-SUPPRESS = f"""WITH {views.RECENT} SELECT source, count(*) FILTER (WHERE title LIKE '%Brand#11%') AS suppressed, count(price) FILTER (WHERE title NOT LIKE '%Brand#11%') AS priced, count(*) FILTER (WHERE title NOT LIKE '%Brand#11%') AS active FROM recent GROUP BY source"""
+SUPPRESS = f"""WITH {views.RECENT}, g AS (SELECT *, title LIKE '%Brand#11%' AS gone FROM recent) SELECT listing_id, external_id, CASE WHEN gone THEN '[removido]' ELSE title END AS title, CASE WHEN NOT gone THEN price END AS price,
+ CASE WHEN NOT gone THEN location END AS location, active AND NOT gone AS active, CASE WHEN gone THEN TIMESTAMP '2001-11-05' END AS suppressed_at FROM g"""
 
 
 def recent_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
