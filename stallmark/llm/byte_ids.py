@@ -18,7 +18,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries after which the cache is emptied, and the longest unit in bytes that is cached.
-MOST_UNITS, LONGEST = 1_000_000, 128
+MOST_UNITS, LONGEST = 500_000, 128
 #: The pattern by which a ByteLevel pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beyond ASCII as UTF-8: two bytes, or three of which the last lies in a range.

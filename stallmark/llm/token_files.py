@@ -32,7 +32,7 @@ from stallmark.llm.byte_ids import byte_ids
 from stallmark.llm.kernels import plain
 
 #: Bytes of ids after which a shard ends, of ids read at once, and of text encoded at once.
-SHARD_BYTES, READ_BYTES, TEXT_BYTES = 64 << 20, 8 << 20, 16 << 20
+SHARD_BYTES, READ_BYTES, TEXT_BYTES = 64 << 20, 4 << 20, 8 << 20
 MANIFEST = "shard string, part int, number int, documents long, nulls long, tokens long, width int"
 
 
