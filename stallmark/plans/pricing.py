@@ -10,6 +10,7 @@ from stallmark.operators.comparables import newest_pool, pool_pairs
 from stallmark.operators.range_join import Near, near_pairs
 from stallmark.operators.selection import exact_percentiles
 from stallmark.plans import views
+from stallmark.shared import stored
 
 _STATS = ["median_price", "mean_price", "min_price", "max_price", "p25", "p75", "p90"]
 #: Doubles are compared to four places; the nudge keeps exact halves, which the two engines round apart, off the edge.
@@ -82,7 +83,7 @@ def _vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparables_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per recent listing, all others of its brand and model within two years and within 30,000 km or 35 % of its own
     mileage, unknown values near all, damaged ones left out: how many, and their median price."""
-    cars = _vehicles(spark, sf_dir)
+    cars = stored(_vehicles(spark, sf_dir), "cars")  # read for cells, for unknown values and for both sides
     pairs = near_pairs(cars.drop("price", "item_condition"), cars.where("item_condition <> 'damaged'").drop("item_condition"), ["brand", "model"], [Near("year", 2), Near("mileage", 30_000, 0.35)])
     return pairs.groupBy(F.col("target.listing_id").alias("listing_id")).agg(F.count("*").alias("n"), F.round(F.median("candidate.price"), 4).alias("median_price"))
 
