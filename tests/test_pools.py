@@ -32,3 +32,10 @@ def test_unmatched_in_pool(rows, limit):
     want = matching.exclude_matched(pairs, found).groupBy("target.listing_id").count()
     got = {tuple(r) for r in matching.unmatched_in_pool(rows, ["brand"], limit).collect()}
     assert got == {tuple(r) for r in want.collect()} and found.count() > 0
+
+
+@pytest.mark.parametrize("limit", [5, 250])
+def test_collapse_pools(rows, limit):
+    want = matching.collapse_cross_posts(pool_pairs(rows, ["brand"], limit)).select("target_id", F.size("kept"), F.size("dropped"))
+    got = {tuple(r) for r in matching.collapse_pools(rows, ["brand"], limit).collect()}
+    assert got == {tuple(r) for r in want.collect()} and (limit == 5 or sum(r[2] for r in got) > 0)
