@@ -39,3 +39,14 @@ def test_collapse_pools(rows, limit):
     want = matching.collapse_cross_posts(pool_pairs(rows, ["brand"], limit)).select("target_id", F.size("kept"), F.size("dropped"))
     got = {tuple(r) for r in matching.collapse_pools(rows, ["brand"], limit).collect()}
     assert got == {tuple(r) for r in want.collect()} and (limit == 5 or sum(r[2] for r in got) > 0)
+
+
+def test_similar_titles(spark):
+    r = random.Random(8)
+    words = ["red", "old", "hot", "ring", "bolt", "gear", "blue", "7", "12", "big"]
+    texts = {" ".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 6, 7, 9, 12]))) for _ in range(400)}
+    sets = {t: set(t.split()) for t in texts}
+    want = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) * 20 >= 13 * len(sets[a] | sets[b])}
+    got = [tuple(x) for x in matching.similar_titles(spark.createDataFrame([(t,) for t in texts], "title string")).collect()]
+    assert set(got) == want and len(got) == len(want) > 500
+    assert min(map(len, matching._choices(6, 13, 20))) >= 3  # three words meet at once, not one
