@@ -41,6 +41,15 @@ def test_collapse_pools(rows, limit):
     assert got == {tuple(r) for r in want.collect()} and (limit == 5 or sum(r[2] for r in got) > 0)
 
 
+def test_recent_matches_meet_by_title(rows):
+    df = rows.withColumns({"category": F.col("brand"), "active": F.lit(True), "suppressed_at": F.lit(None).cast("timestamp_ntz")})
+    made = [r.asDict() for r in matching.prepared(df.where("category is not null")).select("category", "m").collect()]
+    pairs = df.sparkSession.createDataFrame([(x["m"], y["m"]) for x in made for y in made if x["category"] == y["category"]], f"a {dict(matching.prepared(df).dtypes)['m']}, b {dict(matching.prepared(df).dtypes)['m']}")
+    out = matching.recent_matches(df, df, ["olx", "facebook"], START + timedelta(days=9))
+    assert sorted(map(str, out.collect())) == sorted(map(str, matching.matches(pairs).collect()))
+    assert "_a#" in out._jdf.queryExecution().optimizedPlan().toString()  # titles meet before listings do
+
+
 def test_similar_titles(spark):
     r = random.Random(8)
     words = ["red", "old", "hot", "ring", "bolt", "gear", "blue", "7", "12", "big"]
