@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stallmark.operators import scoring, state, statistics
 from stallmark.operators.comparables import newest_pool, pool_pairs
-from stallmark.operators.range_join import Near, near_pairs
+from stallmark.operators.range_join import Near, near_medians
 from stallmark.operators.selection import exact_percentiles
 from stallmark.plans import views
 from stallmark.shared import stored
@@ -83,9 +83,10 @@ def _vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparables_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per recent listing, all others of its brand and model within two years and within 30,000 km or 35 % of its own
     mileage, unknown values near all, damaged ones left out: how many, and their median price."""
-    cars = stored(_vehicles(spark, sf_dir), "cars")  # read for cells, for unknown values and for both sides
-    pairs = near_pairs(cars.drop("price", "item_condition"), cars.where("item_condition <> 'damaged'").drop("item_condition"), ["brand", "model"], [Near("year", 2), Near("mileage", 30_000, 0.35)])
-    return pairs.groupBy(F.col("target.listing_id").alias("listing_id")).agg(F.count("*").alias("n"), F.round(F.median("candidate.price"), 4).alias("median_price"))
+    cars = stored(_vehicles(spark, sf_dir).withColumn("at", F.monotonically_increasing_id()), "cars")  # read for cells and for both sides
+    targets = cars.select("listing_id", "at", "brand", "model", "year", "mileage")
+    near = near_medians(targets, cars.where("item_condition <> 'damaged'"), ["brand", "model"], [Near("year", 2), Near("mileage", 30_000, 0.35)], "price", "at")
+    return near.select("listing_id", "n", F.round("median", 4).alias("median_price"))
 
 
 COMPARABLES_UNCAPPED = f"""WITH {views.RECENT}, v AS (SELECT listing_id, brand, split_part(category, ' ', 1) AS model, CASE WHEN quantity % 11 <> 0 THEN 1980 + size % 35 END AS year,

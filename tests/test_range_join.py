@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stallmark.operators.range_join import Near, near_pairs
+from stallmark.operators.range_join import Near, near_medians, near_pairs
 
 
 def holds(n, a, b):
@@ -41,3 +41,20 @@ def test_rows_that_meet_follow_the_pairs(spark):
 def test_reach_is_positive():
     with pytest.raises(ValueError):
         Near("year", 0)
+
+
+@pytest.mark.parametrize("unknown", [0.0, 0.2])
+def test_medians_equal_those_of_pairs(spark, unknown):
+    r = random.Random(5)
+    mileage = lambda: r.choice([r.uniform(0, 90_000), r.uniform(80_000, 95_000), 10 ** r.uniform(3, 6), 30_000.0 * r.randint(0, 9), 0.0, -5.0])
+    some = lambda v: None if r.random() < unknown else v
+    rows = [(i, r.choice(["gol", "gol", "civic", None]), some(r.randint(1990, 2010)), some(mileage()), some(float(r.randint(1, 50)))) for i in range(260)]
+    near = [Near("year", 2), Near("mileage", 30_000, 0.35)]
+    df = spark.createDataFrame(rows, "at long, model string, year int, mileage double, price double").repartition(4)
+    targets, pool = df.where("at % 3 <> 0").drop("price"), df.where("at % 4 <> 0")
+    pairs = near_pairs(targets, pool, ["model"], near, id_col="at")
+    want = pairs.groupBy("target.at").agg(F.count("*").alias("n"), F.median("candidate.price").alias("m")).collect()
+    for most in (5, 4_000):
+        got = near_medians(targets, pool, ["model"], near, "price", "at", most).select("at", "n", "median")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 100
+    assert near_medians(targets, pool.limit(0), ["model"], near, "price", "at").count() == 0
