@@ -117,7 +117,8 @@ TOP250_POOL = f"""WITH {views.LISTING} SELECT category, currency, listing_id, po
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each recent listing with the reference of its brand and category among sound recent listings."""
-    r = views.recent(spark, sf_dir)
+    r = views.recent(spark, sf_dir).select("listing_id", "source", "brand", "category", "title", "size", "price", "item_condition")
+    r = stored(r, "recent")  # few of all listings, read for both sides
     sound = r.where("item_condition <> 'damaged'").groupBy("brand", "category").agg(F.count("*").alias("n"), F.median("price").alias("median"))
     return r.join(sound, ["brand", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
