@@ -36,7 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallmark.llm.graph import components
@@ -181,6 +181,16 @@ def prefix_survivors(classes: DataFrame, percent: int) -> DataFrame:
     return able.where(may_link(percent)).select("s")
 
 
+def outside_largest(by: DataFrame) -> DataFrame:
+    """(token, most, lo, hi, often, lo_, hi_) of the tokens that several groups have, of rows (token, group, lo, hi, often):
+    most is the group with the most entries, lo_ and hi_ are the sizes in the other groups. Rows stay where their token is
+    and none is joined with another."""
+    rows = by.withColumn("most", F.max_by("group", F.struct("often", "group")).over(Window.partitionBy("token")))
+    other = lambda c: F.when(F.col("group") != F.col("most"), F.col(c))
+    sizes = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("often").cast("int").alias("often"), F.min(other("lo")).alias("lo_"), F.max(other("hi")).alias("hi_")]
+    return rows.groupBy("token").agg(F.any_value("most").alias("most"), *sizes, F.count("*").alias("groups")).where("groups > 1").drop("groups")
+
+
 def prune(sets: DataFrame, percent: int, name: str, grouped: bool) -> DataFrame:
     """Sets (s, n, group, own) that may still link with one of another group; own: (often, token, need, large) of the
     shingles that another group has too, rarest first, large if the group has the most of the shingle. A partner of size m
@@ -192,12 +202,8 @@ def prune(sets: DataFrame, percent: int, name: str, grouped: bool) -> DataFrame:
         token = entries.groupBy("token").agg(*size, F.min("group").alias("a"), F.max("group").alias("z")).where("a < z").drop("a", "z")
         rows = entries.join(token, "token").withColumn("large", F.lit(False))
     else:
-        by = entries.groupBy("token", "group").agg(*size)
-        token = by.groupBy("token").agg(F.max_by("group", F.struct("often", "group")).alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("often").cast("int").alias("often"), F.count("*").alias("groups"))
-        token = token.where("groups > 1").drop("groups")
-        others = by.select("token", "group", F.col("lo").alias("lo_"), F.col("hi").alias("hi_")).join(token.select("token", "most"), "token").where("group <> most")
-        others = others.groupBy("token").agg(F.min("lo_").alias("lo_"), F.max("hi_").alias("hi_"))
-        rows = entries.join(token.join(others, "token"), "token").withColumn("large", F.col("group") == F.col("most"))
+        token = outside_largest(entries.groupBy("token", "group").agg(*size))
+        rows = entries.join(token, "token").withColumn("large", F.col("group") == F.col("most"))
         for c in ("lo", "hi"):
             rows = rows.withColumn(c, F.when(F.col("large"), F.col(f"{c}_")).otherwise(F.col(c)))
     rows = _bounds(rows, percent)
