@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallmark.analyzers.base import Listing
 from stallmark.analyzers.gpu import GpuAnalyzer
+from stallmark.functions.text import made_once
 from stallmark.operators import contracts
 from stallmark.plans import views
 
@@ -21,7 +22,7 @@ _CARD = """concat('{"gpuVendor":', CASE x % 5 WHEN 0 THEN '"NVIDIA"' WHEN 1 THEN
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "part").withColumn("x", F.expr(_MIXED))
+    rows = views.dealt(views.table(spark, sf_dir, "part"), "p_partkey").withColumn("x", F.expr(_MIXED))
     return rows.select("p_partkey", F.lit("deal_analysis").alias("contract"), F.expr(_ANSWER).alias("doc")).unionByName(rows.select("p_partkey", F.lit("gpu").alias("contract"), F.expr(_CARD).alias("doc")))
 
 
@@ -63,9 +64,8 @@ def document_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     beyond its contract."""
     out = None
     for c in (contracts.DEAL_ANALYSIS, contracts.GPU):
-        good, bad = contracts.held_to(_documents(spark, sf_dir).where(F.col("contract") == c.name), "doc", c)
-        rows = good.select("p_partkey", "contract", F.lit("").alias("reasons"), F.array_join("unknown_keys", ",").alias("unknown_keys"))
-        rows = rows.unionByName(bad.select("p_partkey", "contract", F.array_join("reasons", "; ").alias("reasons"), F.lit(None).cast("string").alias("unknown_keys")))
+        rows = contracts.checked(_documents(spark, sf_dir).where(F.col("contract") == c.name), "doc", c)
+        rows = rows.select("p_partkey", "contract", F.array_join("reasons", "; ").alias("reasons"), F.when(F.size("reasons") == 0, F.array_join("unknown_keys", ",")).alias("unknown_keys"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -93,9 +93,9 @@ def _ad() -> Column:
 
 def extraction_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the card analyzer reads in advertisements, and why a store refuses some of it."""
-    rows = views.table(spark, sf_dir, "part").withColumn("x", F.expr(_MIXED)).withColumn("title", _ad())
+    rows = views.dealt(views.table(spark, sf_dir, "part"), "p_partkey").withColumn("x", F.expr(_MIXED)).withColumn("title", _ad())
     listing = Listing(F.col("title"), F.lit(None).cast("string"), F.create_map().cast("map<string,string>"))
-    good, bad = contracts.gate_extractions(rows.withColumn("d", GpuAnalyzer().extract(listing)), "d", contracts.GPU)
+    good, bad = contracts.gate_extractions(rows.withColumn("d", made_once(GpuAnalyzer().extract(listing))), "d", contracts.GPU)
     columns = ["p_partkey", "d.normalized_model", "d.vram_gb"]
     return good.select(*columns, F.lit("").alias("reasons")).unionByName(bad.select(*columns, F.array_join("reasons", "; ").alias("reasons")))
 

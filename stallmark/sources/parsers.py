@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.functions.numbers import parse_price
-from stallmark.functions.text import match, nullable_text
+from stallmark.functions.text import match, nullable_text, once
 from stallmark.functions.urls import first_party_id
 
 #: Patterns of price lines and of titles that are navigation.
@@ -22,11 +22,6 @@ def first_where(items: Column, test) -> Column:
     return F.get(F.filter(items, test), 0)
 
 
-def once(value: Column, use) -> Column:
-    """use(value), kept in one place: filters on the result do not repeat its expression, which outgrows a method."""
-    return F.transform(F.array(value), use)[0]
-
-
 def http_or_null(url: Column) -> Column:
     return F.when(url.rlike("(?i)^https?://"), url)
 
