@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stallmark.analyzers.base import Listing, analysis, present, unknown_or_equal
 from stallmark.analyzers.gpu import WARRANTY
-from stallmark.functions.text import contains_defect, first_term, match, model_signature, normalize_title
+from stallmark.functions.text import contains_defect, first_term, match, model_signature, normalize_title, once
 
 #: Names, patterns and notices, lists tried in their order.
 BRANDS = ["apple", "samsung", "sony", "lg", "dell", "lenovo", "asus", "acer", "motorola", "xiaomi"]
@@ -20,8 +20,8 @@ STOP_WORDS = ["aparelho", "caixa", "com", "estado", "excelente", "lacrado", "nov
 def infer_model(title: Column, brand: Column) -> Column:
     """The first five words of the title that are neither the brand nor fill words."""
     own = F.coalesce(F.split(brand, " "), F.array().cast("array<string>"))
-    words = F.filter(F.split(normalize_title(title), " "), lambda t: ~t.isin(STOP_WORDS) & ~F.array_contains(own, t))
-    return F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, 5), " "))
+    words = once(own, lambda own: F.filter(F.split(normalize_title(title), " "), lambda t: ~t.isin(STOP_WORDS) & ~F.array_contains(own, t)))
+    return once(words, lambda words: F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, 5), " ")))
 
 
 class GenericAnalyzer:
@@ -29,7 +29,9 @@ class GenericAnalyzer:
         self.category = category
 
     def extract(self, listing: Listing) -> Column:
-        text = listing.text
+        return once(listing.text, lambda text: self._fields(listing, text))
+
+    def _fields(self, listing: Listing, text: Column) -> Column:
         brand, defect = first_term(text, BRANDS), contains_defect(text)
         condition = F.when(defect, "damaged").when(text.rlike(AS_NEW), "new").when(text.rlike(REFURBISHED), "refurbished").when(text.rlike(USED), "used").otherwise("unknown")
         return F.struct(

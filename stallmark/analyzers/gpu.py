@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stallmark.analyzers.base import Listing, analysis, present, unknown_or_equal
-from stallmark.functions.text import contains_defect, first_term, match
+from stallmark.functions.text import contains_defect, first_term, match, once
 
 #: Names, patterns and notices, lists tried in their order.
 BOARD_BRANDS = ["asus", "msi", "gigabyte", "galax", "zotac", "evga", "palit", "pny", "sapphire", "powercolor", "xfx"]
@@ -66,7 +66,9 @@ class GpuAnalyzer:
     category = "gpu"
 
     def extract(self, listing: Listing) -> Column:
-        text = listing.text
+        return once(listing.text, self._fields)
+
+    def _fields(self, text: Column) -> Column:
         model, defect = gpu_model(text), contains_defect(text)
         box = F.when(text.rlike(WITH_BOX), True).when(text.rlike(WITHOUT_BOX), False)
         condition = F.when(defect, "damaged").when(text.rlike(AS_NEW), "new").when(text.rlike(USED), "used").otherwise("unknown")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stallmark.analyzers.base import Listing, analysis, known, present, unknown_or_equal
 from stallmark.analyzers.gpu import gpu_model
-from stallmark.functions.text import contains_defect, first_term, match
+from stallmark.functions.text import contains_defect, first_term, match, once
 
 #: Names, patterns and notices, lists tried in their order.
 MAKERS = ["apple", "dell", "lenovo", "asus", "acer", "samsung", "hp", "positivo", "avell", "lg"]
@@ -36,7 +36,9 @@ class NotebookAnalyzer:
     category = "notebook"
 
     def extract(self, listing: Listing) -> Column:
-        text = listing.text
+        return once(listing.text, lambda text: self._fields(listing, text))
+
+    def _fields(self, listing: Listing, text: Column) -> Column:
         raw = F.lower(F.concat_ws(" ", listing.title, F.coalesce(listing.description, F.lit(""))))
         cpu, defect = match(text, CPU), contains_defect(text)
         ram = match(text, RAM).cast("int")
