@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from stallmark.analyzers.generic import BRANDS, STOP_WORDS, infer_model
 from stallmark.analyzers.gpu import gpu_model
-from stallmark.functions.text import error_message, first_term, normalize_title, truncate_after
+from stallmark.functions.text import error_message, first_term, normalize_title, once, truncate_after
 from stallmark.operators import filters, reports, scoring
 from stallmark.plans import views
-from stallmark.sources.parsers import once
 
 _MIXED = "(p_partkey * 7919 + p_size * 104729 + cast(floor(p_retailprice) AS BIGINT) * 31) % 1000003"
 #: Ways in which a title names a card, and the vendor and model that it then has: both in the expressions of both engines.
@@ -22,7 +21,7 @@ _SECOND = f"CASE WHEN {_BARE} = '1030' THEN 'GT' WHEN {_BARE} = '1660' THEN 'GTX
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "part").withColumn("x", F.expr(_MIXED))
+    return views.dealt(views.table(spark, sf_dir, "part"), "p_partkey").withColumn("x", F.expr(_MIXED))
 
 
 def card_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +44,8 @@ _GOODS = "concat_ws(' ', CASE x % 4 WHEN 0 THEN 'Vendo' WHEN 1 THEN 'Produto NOV
 def inferred_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that a title of any goods is taken to name: its first five words but the brand and fill words."""
     rows = _parts(spark, sf_dir).withColumn("title", F.expr(_GOODS))
-    brand = first_term(normalize_title(F.col("title")), BRANDS)
-    return rows.select("p_partkey", brand.alias("brand"), infer_model(F.col("title"), brand).alias("model"))
+    rows = rows.select("p_partkey", "title", first_term(normalize_title(F.col("title")), BRANDS).alias("brand"))
+    return rows.select("p_partkey", "brand", infer_model(F.col("title"), F.col("brand")).alias("model"))
 
 
 INFERRED_MODELS = f"""WITH rows AS (SELECT *, {_MIXED} AS x FROM part), t AS (SELECT p_partkey, string_split(trim(regexp_replace(lower({_GOODS}), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM rows),
