@@ -26,7 +26,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part with its price as an advertisement writes it."""
     reais = F.floor("p_retailprice")
     text = F.when(reais >= 1000, F.concat(F.floor(reais / 1000).cast("string"), F.lit("."), F.lpad((reais % 1000).cast("string"), 3, "0"))).otherwise(reais.cast("string"))
-    return views.table(spark, sf_dir, "part").withColumn("said", F.concat(F.lit("R$ "), text, F.when(_k() % 3 == 0, ",50").otherwise("")))
+    return views.dealt(views.table(spark, sf_dir, "part"), "p_partkey").withColumn("said", F.concat(F.lit("R$ "), text, F.when(_k() % 3 == 0, ",50").otherwise("")))
 
 
 def _lines(*items: Column | str) -> Column:
@@ -237,9 +237,8 @@ def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_partkey") % 5
     url = F.when(n == 0, "http://sc.olx.com.br/a-1234567").when(n == 1, "https://olx.com.br.example.org/a-1234567").when(n == 2, "no url").when(n == 3, "https://user@sc.olx.com.br/a-1234567").otherwise("https://sc.olx.com.br/a-1234567")
     rows = views.feed(spark, sf_dir).withColumns({"url": url, "image_url": F.when(F.col("l_suppkey") % 2 == 0, "ftp://x/y"), "currency": F.when(F.col("l_suppkey") % 5 == 0, "R$").otherwise(F.col("currency"))})
-    good, bad = validation.gate(rows, F.lit("olx"))
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return bad.select(*key, F.array_join("reasons", ",").alias("reasons")).unionByName(good.select(*key, F.lit("").alias("reasons")))
+    return rows.select(*key, F.array_join(validation.gate_reasons(F.lit("olx")), ",").alias("reasons"))
 
 
 GATE_REASONS = f"""WITH {views.FEED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, concat_ws(',', CASE WHEN l_suppkey % 5 = 0 THEN 'currency' END, CASE WHEN l_partkey % 5 = 2 THEN 'url' END, CASE WHEN l_suppkey % 2 = 0 THEN 'image_url' END,
