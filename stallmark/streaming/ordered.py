@@ -1,9 +1,9 @@
 """Change points of price series whose observations arrive late and out of order.
 
-Rows wait in a list state of their series until the watermark passes them; a timer at the earliest waiting row wakes the
-series, which then takes all rows that the watermark has passed in order of (time, seq). As nothing at or before a
+Series share buckets. Rows wait in the state of their bucket until the watermark passes them; a timer at the earliest waiting row
+wakes the bucket, which then takes all rows that the watermark has passed in order of (time, seq). As nothing at or before a
 watermark is let in any more, that order is final: the result is the batch result of all rows that came in time, whatever
-the order of their arrival. State is the waiting rows and the last price. With `idle`, a series that is silent for as long
+the order of their arrival. State is the waiting rows and the last prices. With `idle`, a series that is silent for as long
 in event time is forgotten, and begins anew with its next price.
 """
 
@@ -12,10 +12,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from stallmark.streaming.buckets import before, bucketed, pack, unpack
+
+WAITING = pa.schema([("listing_id", pa.string()), ("seq", pa.int64()), ("micros", pa.int64()), ("price", pa.float64())])
+LAST = pa.schema([("listing_id", pa.string()), ("micros", pa.int64()), ("price", pa.float64())])
 CHANGE = "listing_id string, seq long, micros long, price double"
 
 
@@ -25,51 +30,52 @@ class OrderedChanges(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "seq long, micros long, price double")
-        self.last = handle.getValueState("last", "price double, micros long")
+        self.state = handle.getValueState("bucket", "waiting binary, last binary")
+
+    def _held(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        if not self.state.exists():
+            return WAITING.empty_table().to_pandas(), LAST.empty_table().to_pandas()
+        return tuple(unpack(x) for x in self.state.get())
+
+    def _hold(self, waiting: pd.DataFrame, last: pd.DataFrame) -> None:
+        if waiting.empty and last.empty:
+            self.state.clear()
+        else:
+            self.state.update((pack(waiting, WAITING), pack(last, LAST)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows))
-        self.waiting.appendList([(int(s), int(m), None if pd.isna(p) else float(p)) for s, m, p in zip(every["seq"], every["micros"], every["price"], strict=True)])
+        waiting, last = self._held()
+        self._hold(pd.concat([waiting, every[WAITING.names]], ignore_index=True), last)
         self.handle.registerTimer(-(-int(every["micros"].min()) // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = pd.DataFrame(list(self.waiting.get()), columns=["seq", "micros", "price"])
-        ready = rows["micros"] <= watermark
-        last = self.last.get() if self.last.exists() else (None, None)
-        if not ready.any():
-            silent = self.idle_ms is not None and last[1] is not None and watermark >= last[1] + self.idle_ms * 1000
-            if silent and rows.empty:
-                self.last.clear()
-            return
-        now, later = rows[ready].sort_values(["micros", "seq"]), rows[~ready]
-        self.waiting.clear()
+        waiting, last = self._held()
+        ready = waiting["micros"] <= watermark
+        rows = before(waiting[ready], last, ["price", "micros"], ["micros", "seq"])
+        later, last = waiting[~ready], rows[rows["_end"]]
+        if self.idle_ms is not None:
+            rows.loc[rows["micros"] - rows["_micros"] >= self.idle_ms * 1000, "_price"] = float("nan")
+            last = last[last["micros"] + self.idle_ms * 1000 > watermark]  # what comes now comes after a silence
+        self._hold(later, last)
         if len(later):
-            self.waiting.put(list(later.astype(object).where(later.notna(), None).itertuples(index=False, name=None)))
             self.handle.registerTimer(-(-int(later["micros"].min()) // 1000))
-        before = now["price"].shift()
-        before.iloc[0] = float("nan") if last[0] is None else last[0]
-        if self.idle_ms is not None:
-            since = now["micros"].shift()
-            since.iloc[0] = float("nan") if last[1] is None else last[1]
-            before[now["micros"] - since >= self.idle_ms * 1000] = float("nan")
-        end = now.iloc[-1]
-        self.last.update((None if pd.isna(end["price"]) else float(end["price"]), int(end["micros"])))
-        if self.idle_ms is not None:
-            self.handle.registerTimer(-(-int(end["micros"]) // 1000) + self.idle_ms)
-        changed = now[now["price"].notna() & (now["price"] != before)]
+        if self.idle_ms is not None and len(last):
+            self.handle.registerTimer(-(-int(last["micros"].min()) // 1000) + self.idle_ms)
+        changed = rows[rows["_new"] & rows["price"].notna() & (rows["price"] != rows["_price"])]
         if len(changed):
-            yield changed.assign(listing_id=key[0])[["listing_id", "seq", "micros", "price"]]
+            yield changed[WAITING.names].astype({"seq": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def ordered_price_changes(stream: DataFrame, delay: str, idle_ms: int | None = None) -> DataFrame:
+def ordered_price_changes(stream: DataFrame, delay: str, idle_ms: int | None = None, buckets: int = 64) -> DataFrame:
     """(listing_id, seq, micros, price) of the points at which a series' price changed, from a stream of (listing_id, seq,
-    micros, price) in any order; micros count from 1970. Rows later than `delay` behind the latest are left out."""
+    micros, price) in any order; micros count from 1970. Rows later than `delay` behind the latest are left out. Series
+    are kept in `buckets` states, a number that a checkpoint fixes."""
     timed = stream.withColumn("at", F.timestamp_micros("micros")).withWatermark("at", delay)
-    return timed.groupBy("listing_id").transformWithStateInPandas(OrderedChanges(idle_ms), CHANGE, "Append", "EventTime")
+    return bucketed(timed, buckets).transformWithStateInPandas(OrderedChanges(idle_ms), CHANGE, "Append", "EventTime")

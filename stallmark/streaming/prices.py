@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
+from stallmark.streaming.buckets import before, bucketed, pack, unpack
+
+LAST = pa.schema([("listing_id", pa.string()), ("price", pa.float64())])
 CHANGE = StructType([StructField("listing_id", StringType()), StructField("seq", LongType()), StructField("observed_at", TimestampNTZType()), StructField("price", DoubleType())])
 
 
@@ -18,32 +22,27 @@ def first_within(df: DataFrame, keys: list[str], at: str, delay: str) -> DataFra
 
 
 class LastPrice(StatefulProcessor):
-    """State of a listing: the last price seen (null is one), and whether there was any."""
+    """State of a bucket of listings: the last price seen of each (null is one)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "price double")
+        self.state = handle.getValueState("last", "last binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["observed_at", "seq"])
-        seen = self.state.exists()
-        last = self.state.get()[0] if seen else None
-        out = []
-        for row in every.itertuples(index=False):
-            price = None if pd.isna(row.price) else float(row.price)
-            if price is not None and (not seen or price != last):
-                out.append(row)
-            last, seen = price, True
-        self.state.update((last,))
-        if out:
-            yield pd.DataFrame(out, columns=every.columns)[CHANGE.fieldNames()]
+        last = unpack(self.state.get()[0]) if self.state.exists() else LAST.empty_table().to_pandas()
+        every = before(pd.concat(list(rows)), last, ["price"], ["observed_at", "seq"])
+        self.state.update((pack(every[every["_end"]], LAST),))
+        changed = every[every["_new"] & every["price"].notna() & (every["price"] != every["_price"])]
+        if len(changed):
+            yield changed[CHANGE.fieldNames()].astype({"seq": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def price_changes(stream: DataFrame) -> DataFrame:
-    """Change points of a stream of (listing_id, seq, observed_at, price); micro-batches come in order of time."""
-    return stream.groupBy("listing_id").transformWithStateInPandas(LastPrice(), CHANGE, "Append", "None")
+def price_changes(stream: DataFrame, buckets: int = 64) -> DataFrame:
+    """Change points of a stream of (listing_id, seq, observed_at, price); micro-batches come in order of time. Listings are
+    kept in `buckets` states, a number that a checkpoint fixes."""
+    return bucketed(stream, buckets).transformWithStateInPandas(LastPrice(), CHANGE, "Append", "None")
 
 
 def write_outbox(messages: DataFrame, path: str, checkpoint: str, key: str = "notification_id"):
