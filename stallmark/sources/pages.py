@@ -2,11 +2,13 @@
 
 A store is a folder of bundles. A bundle holds the JSON bodies of neighbouring pages of one search on end; its index has
 for each page the place of its body, its offset, how many items it holds, and their lowest and highest price. The manifest
-(Parquet) has a row for each bundle with the same facts, and with the first empty page and the total that its pages name.
+(Parquet) has a row for each bundle with the same facts, with the first empty page and the total that its pages name, and
+with its bytes.
 
 Planning reads the manifest alone: bundles of other searches, past a search's end, or out of the asked range of prices or
-places are no partitions. A task reads the index of its bundle, and of the bodies those whose prices and places may fit.
-Items are then held against the filters themselves, so Spark need not filter again.
+places go to no partition. A partition holds as many of the others as make a task worth its start. A task reads the indexes
+of its bundles, and of the bodies those whose prices and places may fit. Items are then held against the filters themselves,
+so Spark need not filter again.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +29,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from stallmark.functions.text import normalize_title
 
 ITEM = "source string, slug string, seq long, id string, title string, price double, currency_id string, permalink string, thumbnail string"
-BUNDLE = "bundle string, source string, slug string, first long, last long, pages long, low double, high double, empty long, total long"
+BUNDLE = "bundle string, source string, slug string, first long, last long, pages long, low double, high double, empty long, total long, bytes long"
 _MANIFEST = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in BUNDLE.split(", ")])
 _ITEM = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in ITEM.split(", ")])
+#: Bytes of bundles that make a task, and those that opening a bundle counts as.
+TASK_BYTES, OPEN_BYTES = 32 << 20, 64 << 10
+#: Bytes of bodies whose items make a batch.
+BATCH_BYTES = 1 << 20
+_LEAST = {"price": float("-inf"), "seq": -(1 << 63)}
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -71,7 +80,7 @@ def write_pages(pages: DataFrame, path: str, page: int = 50, bundle_pages: int =
             _put(at, f"{root}/{bundle}.pages", b"".join(bodies))
             _put(at, f"{root}/{bundle}.index", "\n".join(map(json.dumps, index)).encode())
             prices, totals = [p for x in index for p in (x["low"], x["high"]) if p is not None], [x["total"] for x in index if x["total"] is not None]
-            row = (bundle, source, name, index[0]["offset"], index[-1]["offset"], len(index), min(prices, default=None), max(prices, default=None), min((x["offset"] for x in index if not x["items"]), default=None), max(totals, default=None))
+            row = (bundle, source, name, index[0]["offset"], index[-1]["offset"], len(index), min(prices, default=None), max(prices, default=None), min((x["offset"] for x in index if not x["items"]), default=None), max(totals, default=None), index[-1]["start"] + index[-1]["length"])
             yield pa.RecordBatch.from_pylist([dict(zip(_MANIFEST.names, row, strict=True))], _MANIFEST)
 
         for b in batches:
@@ -118,6 +127,21 @@ class Asked:
             return False
         return True
 
+    def among(self, bundles: pa.Table, page: int) -> pa.Table:
+        """The bundles that may hold items that are asked for, as far as names, prices and places tell."""
+        for name, values in self.equal.items():
+            bundles = bundles.filter(pc.is_in(bundles[name], pa.array(sorted(values), pa.string())))
+        for name in self.present & {"source", "slug"}:
+            bundles = bundles.filter(pc.is_valid(bundles[name]))
+        for name, least, most, more in (("price", "low", "high", 0), ("seq", "first", "last", page - 1)):
+            if name in self.present:
+                bundles = bundles.filter(pc.is_valid(bundles[least]))
+            if name in self.low:
+                bundles = bundles.filter(pc.greater_equal(bundles[most], pa.scalar(max(self.low[name][0] - more, _LEAST[name]))))
+            if name in self.high:
+                bundles = bundles.filter(pc.less_equal(bundles[least], pa.scalar(self.high[name][0])))
+        return bundles
+
     def spans(self, name: str, least: float | None, most: float | None) -> bool:
         """Whether a value from least to most may be asked for; without any, there is no such value but null."""
         if least is None:
@@ -132,63 +156,74 @@ class Asked:
 
 
 @dataclass
-class Bundle(InputPartition):
+class Bundle:
     name: str
     source: str
     slug: str
     end: int | None
 
-    def __init__(self, name: str, source: str, slug: str, end: int | None):
+
+class Bundles(InputPartition):
+    def __init__(self, bundles: list[Bundle]):
         super().__init__(None)
-        self.name, self.source, self.slug, self.end = name, source, slug, end
+        self.bundles = bundles
 
 
 class PagesReader(DataSourceReader):
-    def __init__(self, path: str, page: int):
-        self.path, self.page, self.asked = path, page, Asked()
+    def __init__(self, path: str, page: int, cores: int = 1):
+        self.path, self.page, self.cores, self.asked = path, page, cores, Asked()
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         return [f for f in filters if not self.asked.take(f)]
 
     def partitions(self) -> list[InputPartition]:
         at, root = _place(f"{self.path}/manifest")
-        rows = pq.read_table(root, filesystem=at, schema=_MANIFEST).to_pylist()
-        ends: dict[tuple, list[int]] = {}
-        for r in rows:
-            end = ends.setdefault((r["source"], r["slug"]), [None, None])
-            end[0] = min((x for x in (end[0], r["empty"]) if x is not None), default=None)
-            end[1] = max((x for x in (end[1], r["total"]) if x is not None), default=None)
-        kept = []
-        for r in rows:
-            end = min((x for x in ends[r["source"], r["slug"]] if x is not None), default=None)
-            named = all(r[c] in v for c, v in self.asked.equal.items())
-            if named and (end is None or r["first"] < end) and self.asked.spans("price", r["low"], r["high"]) and self.asked.spans("seq", r["first"], r["last"] + self.page - 1):
-                kept.append(Bundle(r["bundle"], r["source"], r["slug"], end))
-        return kept or [Bundle("", "", "", 0)]
-
-    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
-        if not partition.name:
-            return
+        rows = pq.read_table(root, filesystem=at, schema=_MANIFEST)
+        found = rows.group_by(["source", "slug"]).aggregate([("empty", "min"), ("total", "max")])
+        ends = dict(zip(zip(found["source"].to_pylist(), found["slug"].to_pylist(), strict=True), pc.min_element_wise(found["empty_min"], found["total_max"]).to_pylist(), strict=True))
+        kept, weight = [], 0  # bundles, each with the weight of those before it
+        for b in self.asked.among(rows, self.page).to_batches():
+            for name, source, slug, first, size in zip(*(b[c].to_pylist() for c in ("bundle", "source", "slug", "first", "bytes")), strict=True):
+                end = ends[source, slug]
+                if end is None or first < end:
+                    kept.append((weight, Bundle(name, source, slug, end)))
+                    weight += (size or 0) + OPEN_BYTES
+        most = min(TASK_BYTES, -(-weight // self.cores))
+        return [Bundles([x for _, x in task]) for _, task in groupby(kept, lambda x: x[0] // most)] or [Bundles([])]
+
+    def read(self, partition: Bundles) -> Iterator[pa.RecordBatch]:
         at, root = _place(self.path)
-        with at.open_input_stream(f"{root}/{partition.name}.index") as f:
+        out, read = [], 0
+        for bundle in partition.bundles:
+            for size, items in self._pages(at, f"{root}/{bundle.name}", bundle):
+                out += items
+                read += size
+                if out and read >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, _ITEM)
+                    out, read = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _ITEM)
+
+    def _pages(self, at: fs.FileSystem, path: str, bundle: Bundle) -> Iterator[tuple[int, list[dict]]]:
+        """Of each page of a bundle that may fit, its bytes and the items that do."""
+        with at.open_input_stream(f"{path}.index") as f:
             index = [json.loads(x) for x in f.read().decode().split("\n")]
-        with at.open_input_file(f"{root}/{partition.name}.pages") as f:
+        with at.open_input_file(f"{path}.pages") as f:
             for x in index:
                 offset = x["offset"]
-                if partition.end is not None and offset >= partition.end or not x["items"] or not self.asked.spans("price", x["low"], x["high"]) or not self.asked.spans("seq", offset, offset + self.page - 1):
+                if bundle.end is not None and offset >= bundle.end or not x["items"] or not self.asked.spans("price", x["low"], x["high"]) or not self.asked.spans("seq", offset, offset + self.page - 1):
                     continue
                 f.seek(x["start"])
-                out = []
+                items = []
                 for i, item in enumerate(json.loads(f.read(x["length"]))["results"][: self.page]):
                     price = None if item.get("price") is None else float(item["price"])
                     if self.asked.holds("price", price) and self.asked.holds("seq", offset + i):
-                        out.append({"source": partition.source, "slug": partition.slug, "seq": offset + i, "price": price} | {c: item.get(c) for c in ("id", "title", "currency_id", "permalink", "thumbnail")})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, _ITEM)
+                        items.append({"source": bundle.source, "slug": bundle.slug, "seq": offset + i, "price": price} | {c: item.get(c) for c in ("id", "title", "currency_id", "permalink", "thumbnail")})
+                yield x["length"], items
 
 
 class CapturedPages(DataSource):
-    """Format `captured_pages`: options path (a store), and page, the most items of a page (50)."""
+    """Format `captured_pages`: options path (a store), page, the most items of a page (50), and cores, those to share the bundles."""
 
     @classmethod
     def name(cls) -> str:
@@ -198,7 +233,7 @@ class CapturedPages(DataSource):
         return ITEM
 
     def reader(self, schema) -> DataSourceReader:
-        return PagesReader(self.options["path"], int(self.options.get("page", "50")))
+        return PagesReader(self.options["path"], int(self.options.get("page", "50")), int(self.options.get("cores", "1")))
 
 
 def read_pages(spark: SparkSession, path: str, page: int = 50) -> DataFrame:
@@ -206,5 +241,6 @@ def read_pages(spark: SparkSession, path: str, page: int = 50) -> DataFrame:
     page, and with the page that reaches its total."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CapturedPages)
-    # Spark keeps what it pushed for a query of the same DataFrame that pushes nothing, so each pushes something.
-    return spark.read.format("captured_pages").option("page", page).load(path).where("source is not null")
+    # Spark keeps what it pushed for a query of the same DataFrame that pushes nothing, so each pushes something, true
+    # of every item.
+    return spark.read.format("captured_pages").option("page", page).option("cores", spark.sparkContext.defaultParallelism).load(path).where("seq is not null")

@@ -53,3 +53,27 @@ def test_unread_pages_of_a_bundle(spark, tmp_path):
     raw[: index[0]["length"]] = b"!" * index[0]["length"]  # the page with prices 40 and 45 can no longer be parsed
     file.write_bytes(raw)
     assert [x.price for x in pages.read_pages(spark, path, page=2).where("slug = 'placa-rtx' and price >= 50 and price < 60").orderBy("price").collect()] == [50.0, 55.0]
+
+
+def test_bundles_share_tasks(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(None if i % 7 == 0 else "olx", "placa rtx", 2 * i, body(2 * i, [float(i)])) for i in range(60)]
+    assert pages.write_pages(spark.createDataFrame(rows, "source string, query string, offset long, body string"), path, page=2, bundle_pages=1).count() == 60
+    d = pages.read_pages(spark, path, page=2)
+    assert d.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism  # 60 before
+    assert sorted(x.price for x in d.collect()) == [float(i) for i in range(60)]
+    for asked, want in (("source is not null", lambda i: i % 7), ("seq >= -9223372036854775808 and price < 20", lambda i: i < 20), ("seq > 39", lambda i: i >= 20)):
+        assert sorted(x.price for x in d.where(asked).collect()) == [float(i) for i in range(60) if want(i)], asked
+
+
+def test_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    path, manifest = store(spark, tmp_path)
+    monkeypatch.setattr(pages, "OPEN_BYTES", 1)
+    sizes = {r.bundle: r.bytes for r in manifest.collect()}
+    assert all(Path(f"{path}/{name}.pages").stat().st_size == n for name, n in sizes.items())
+    for most in (1, 300, 600, 1 << 20):
+        monkeypatch.setattr(pages, "TASK_BYTES", most)
+        tasks = [[x.name for x in p.bundles] for p in pages.PagesReader(path, 2).partitions()]
+        names = [x for t in tasks for x in t]
+        assert len(set(names)) == len(names) == 6 and all(sum(sizes[x] + 1 for x in t[:-1]) < most for t in tasks)
+    assert len(tasks) == 1
