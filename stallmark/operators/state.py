@@ -90,13 +90,18 @@ def fence_holds(a: Column, b: Column) -> Column:
     return a["updated_at"].eqNullSafe(b["updated_at"]) & a["fingerprint"].eqNullSafe(b["fingerprint"]) & a["content_hash"].eqNullSafe(b["content_hash"])
 
 
-def apply_fenced(snapshot: DataFrame, updates: DataFrame, key: str = "listing_id") -> tuple[DataFrame, DataFrame]:
-    """(accepted, stale) updates: those whose fence (struct) equals the live row's, and the rest."""
+def fenced(snapshot: DataFrame, updates: DataFrame, key: str = "listing_id") -> DataFrame:
+    """updates with `accepted`: whether their fence (struct) equals the live row's."""
     rows = snapshot.select(F.col(key).alias("_key"), F.struct("updated_at", "fingerprint", "content_hash").alias("_now"), "suppressed_at")
     joined = updates.join(rows, F.col(key) == F.col("_key"), "left")
     ok = F.col("_key").isNotNull() & F.col("suppressed_at").isNull() & fence_holds(F.col("_now"), F.col("fence"))
-    joined = joined.withColumn("_ok", F.coalesce(ok, F.lit(False))).drop("_key", "_now", "suppressed_at")
-    return joined.where("_ok").drop("_ok"), joined.where("not _ok").drop("_ok")
+    return joined.withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("_key", "_now", "suppressed_at")
+
+
+def apply_fenced(snapshot: DataFrame, updates: DataFrame, key: str = "listing_id") -> tuple[DataFrame, DataFrame]:
+    """(accepted, stale) updates: those whose fence (struct) equals the live row's, and the rest."""
+    judged = fenced(snapshot, updates, key)
+    return judged.where("accepted").drop("accepted"), judged.where("not accepted").drop("accepted")
 
 
 def update_details(snapshot: DataFrame, details: DataFrame, as_of: datetime) -> DataFrame:
