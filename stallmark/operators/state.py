@@ -11,6 +11,7 @@ from stallmark.functions.hashing import content_hash, fingerprint
 from stallmark.functions.urls import normalize_url
 from stallmark.operators.dedup import keep_first, resolve_identity
 from stallmark.schema import LISTING
+from stallmark.shared import stored
 
 
 def price_changes(observations: DataFrame, key: str = "listing_id", order: list[str] = ["observed_at", "seq"]) -> DataFrame:  # noqa: B006
@@ -27,31 +28,63 @@ def price_history(changes: DataFrame, key: str = "listing_id", last: int | None
     return out if last is None else out.withColumn("history", F.slice("history", F.greatest(F.size("history") - last + 1, F.lit(1)), last))
 
 
+class _Side(str):
+    """The columns of one side of a join, by their names without its prefix."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"{self}{name}")
+
+
+def identified(batch: DataFrame, snapshot: DataFrame | None) -> DataFrame:
+    """batch with its normalized_url and the listing_id it belongs to, or its own where it is new. The names alone meet
+    the snapshot's (None: there is none yet); those that belong to a listing under another id than their own are few,
+    and are written and joined with the whole rows."""
+    batch = batch.withColumn("normalized_url", normalize_url(F.col("url")))
+    names = ["source", "external_id", "normalized_url"]
+    own = F.concat_ws(":", "source", F.coalesce(F.concat(F.lit("id:"), "external_id"), F.concat(F.lit("url:"), "normalized_url")))
+    if snapshot is None:
+        return batch.withColumn("listing_id", own)
+    found = resolve_identity(batch.select(*names), snapshot.select("listing_id", *names))
+    found = found.where("listing_id is not null").select(*(F.col(n).alias(f"_{n}") for n in names), F.col("listing_id").alias("_other"), (F.col("listing_id") == own).alias("_own"))
+    moved = stored(found.where("not _own").drop("_own").distinct(), "moved")
+    if not moved.isEmpty():  # one name may belong to several listings, its own among them
+        twice = moved.select(*(F.col(f"_{n}").alias(n) for n in names)).distinct()
+        same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+        moved = moved.unionByName(stored(found.where("_own").drop("_own").distinct().join(twice, same[0] & same[1] & same[2], "left_semi"), "own"))
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    rows = batch.drop("listing_id").join(moved, same[0] & same[1] & same[2], "left")
+    return rows.withColumn("listing_id", F.coalesce("_other", own)).drop("_other", *(f"_{n}" for n in names))
+
+
 def upsert_summaries(snapshot: DataFrame, batch: DataFrame, as_of: datetime) -> DataFrame:
     """The snapshot after a batch of summaries (SUMMARY columns and category), one row a listing at most. Rows found
     by identity are updated; a change of price, title, place, picture or URL drops what only details know; suppressed
     rows take an id they lacked and nothing else; others are new. Two more columns tell of the batch: `change` (new,
     changed, same, suppressed, or null where the batch has no row) and `price_point` (the price to append to the
     history, or null)."""
+    return upsert_identified(snapshot, identified(batch, snapshot), as_of)
+
+
+def upsert_identified(snapshot: DataFrame, found: DataFrame, as_of: datetime) -> DataFrame:
+    """upsert_summaries of a batch that is identified."""
     now = F.lit(as_of)
-    batch = batch.withColumn("normalized_url", normalize_url(F.col("url")))
     # a row without id and one with an id may name one stored listing: the first of them counts
-    found = resolve_identity(batch, snapshot.select("listing_id", "source", "external_id", "normalized_url"))
-    own = F.coalesce(F.col("listing_id"), F.concat_ws(":", "source", F.coalesce(F.concat(F.lit("id:"), "external_id"), F.concat(F.lit("url:"), "normalized_url"))))
-    found = keep_first(found.withColumn("listing_id", own), ["listing_id"], ["seq"])
-    names = ["source", "category", "external_id", "title", "price", "currency", "location", "url", "normalized_url", "image_url"]
-    b = found.select("listing_id", F.struct(*names).alias("b"))
-    s = snapshot.select("listing_id", F.struct(*LISTING.fieldNames()).alias("s"))
-    both = s.join(b, "listing_id", "full_outer")
-    old, new = F.col("s"), F.col("b")
+    found = keep_first(found, ["listing_id"], ["seq"])
+    names = ["listing_id", "source", "category", "external_id", "title", "price", "currency", "location", "url", "normalized_url", "image_url"]
+    # columns, not structs: what is not read is not shuffled
+    b = found.select(*(F.col(n).alias(f"_b_{n}") for n in names))
+    s = snapshot.select(*(F.col(n).alias(f"_s_{n}") for n in LISTING.fieldNames()))
+    both = s.join(b, F.col("_s_listing_id") == F.col("_b_listing_id"), "full_outer")
+    old, new = _Side("_s_"), _Side("_b_")
+    no_old, no_new = old["listing_id"].isNull(), new["listing_id"].isNull()
     gone = old["suppressed_at"].isNotNull()
     priced = ~old["price"].eqNullSafe(new["price"])
     changed = priced
     for n in ("title", "location", "image_url", "normalized_url"):
         changed = changed | ~old[n].eqNullSafe(new[n])
-    kind = F.when(new.isNull(), F.lit(None)).when(old.isNull(), "new").when(gone, "suppressed").when(changed, "changed").otherwise("same")
+    kind = F.when(no_new, F.lit(None)).when(no_old, "new").when(gone, "suppressed").when(changed, "changed").otherwise("same")
     both = both.withColumn("change", kind)
-    both = both.withColumn("price_point", F.when(F.col("change").isin("new", "changed") & (old.isNull() | priced), new["price"]))
+    both = both.withColumn("price_point", F.when(F.col("change").isin("new", "changed") & (no_old | priced), new["price"]))
     fresh, live = F.col("change") == "new", F.col("change").isin("new", "changed", "same")
     reset = F.col("change").isin("new", "changed")
     print_ = fingerprint(new["source"], new["title"], new["price"], new["location"])
@@ -60,6 +93,7 @@ def upsert_summaries(snapshot: DataFrame, batch: DataFrame, as_of: datetime) ->
     keep = lambda n, blank=None: F.when(reset, F.lit(None) if blank is None else blank).otherwise(old[n])
     columns = {n: pick(n) for n in ("category", "title", "price", "currency", "location", "url", "normalized_url", "image_url")}
     columns |= {
+        "listing_id": F.coalesce(old["listing_id"], new["listing_id"]),
         "source": F.coalesce(old["source"], new["source"]),
         "external_id": F.coalesce(old["external_id"], new["external_id"]),
         "fingerprint": F.when(live, print_).otherwise(old["fingerprint"]),
@@ -75,7 +109,7 @@ def upsert_summaries(snapshot: DataFrame, batch: DataFrame, as_of: datetime) ->
         "active": F.when(live, True).otherwise(old["active"]),
         "suppressed_at": old["suppressed_at"],
     }
-    fields = [columns[f.name].cast(f.dataType).alias(f.name) if f.name in columns else F.col(f.name) for f in LISTING.fields]
+    fields = [columns[f.name].cast(f.dataType).alias(f.name) for f in LISTING.fields]
     return both.select(*fields, "change", "price_point")
 
 

@@ -3,7 +3,9 @@
 import re
 
 import __spark_entry__ as entry
+from stallmark.operators import state
 from stallmark.plans import views
+from stallmark.schema import LISTING
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +24,20 @@ def test_a_fence_is_judged_where_the_rows_lie(spark):
 def test_rows_by_id_are_those_of_listing(spark):
     a, b = views.listing(spark, SF).drop("dedup_key"), views.listing_by_id(spark, SF)
     assert a.schema == b.schema and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_an_upsert_moves_what_is_read(spark):
+    """Neither the fingerprint nor other columns that nobody reads, and the stored side is not moved again."""
+    found = shuffled(entry.queries()["upsert_snapshot"](spark, SF))
+    assert len(found) == 2 and not any("struct" in x for x in found)
+
+
+def test_a_name_of_two_listings_updates_both(spark):
+    at, url = views.AS_OF, "https://www.example.com/item/1?v=1"
+    kind = "seq long, source string, external_id string, title string, price double, currency string, location string, url string, image_url string, category string"
+    batch = lambda *rows: spark.createDataFrame([(i, "olx", e, "Placa", p, "BRL", None, u, None, "gpu") for i, (e, u, p) in enumerate(rows)], kind)
+    step = lambda s, b: state.upsert_summaries(s, b, at).drop("change", "price_point")
+    one = step(spark.createDataFrame([], LISTING), batch((None, url, 1.0)))
+    two = step(one, batch(("7", url, 2.0), ("7", url + "2", 3.0)))  # the first takes the id in, the second is new under it
+    assert sorted((r.listing_id, r.external_id, r.price) for r in two.collect()) == [("olx:id:7", "7", 3.0), ("olx:url:https://example.com/item/1?v=1", "7", 2.0)]
+    assert [r.price for r in step(two, batch(("7", url, 4.0))).collect()] == [4.0, 4.0]
