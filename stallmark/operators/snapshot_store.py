@@ -16,9 +16,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmark.functions.urls import normalize_url
-from stallmark.operators.dedup import resolve_identity
-from stallmark.operators.state import upsert_summaries
+from stallmark.operators.state import identified, upsert_identified
 from stallmark.schema import LISTING, PRICE_HISTORY
 
 KEYS = ["listing_id", "source", "external_id", "normalized_url"]
@@ -81,16 +79,16 @@ class SnapshotStore:
         m = self.manifest()
         if number <= m.last_batch:
             return []
-        known = self._read(list(m.buckets.values())).select(*KEYS)
-        named = resolve_identity(batch.withColumn("normalized_url", normalize_url(F.col("url"))), known)
-        own = F.concat_ws(":", "source", F.coalesce(F.concat(F.lit("id:"), "external_id"), F.concat(F.lit("url:"), "normalized_url")))
+        known = self._read(list(m.buckets.values())).select(*KEYS) if m.buckets else None
+        named = identified(batch, known)
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
-        touched = sorted(r.b for r in named.select(bucket(F.coalesce("listing_id", own)).alias("b")).distinct().collect())
+        touched = sorted(r.b for r in named.select(bucket(F.col("listing_id")).alias("b")).distinct().collect())
         if touched:
             old = self._read([m.buckets[str(b)] for b in touched if str(b) in m.buckets])
-            new = upsert_summaries(old, batch, as_of).withColumn("bucket", bucket(F.col("listing_id")))
+            new = upsert_identified(old, named, as_of).withColumn("bucket", bucket(F.col("listing_id")))
             folder = f"data/batch-{number:012d}-v{m.version + 1}"
-            new.repartition(len(touched), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{folder}")
+            # each task of the join writes to all buckets: more files, but whole rows are not shuffled once more
+            new.write.option("compression", "zstd").partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{folder}")
             points = self.spark.read.schema(new.drop("bucket").schema).parquet(f"{self.path}/{folder}").where("price_point is not null")
             points.select("listing_id", F.lit(as_of).alias("observed_at"), F.col("price_point").alias("price")).write.mode("overwrite").parquet(f"{self.path}/history/batch-{number:012d}-v{m.version + 1}")
             m.buckets |= {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}

@@ -4,6 +4,7 @@ import re
 
 import __spark_entry__ as entry
 from stallmark.operators import state
+from stallmark.operators.snapshot_store import SnapshotStore
 from stallmark.plans import views
 from stallmark.schema import LISTING
 
@@ -41,3 +42,16 @@ def test_a_name_of_two_listings_updates_both(spark):
     two = step(one, batch(("7", url, 2.0), ("7", url + "2", 3.0)))  # the first takes the id in, the second is new under it
     assert sorted((r.listing_id, r.external_id, r.price) for r in two.collect()) == [("olx:id:7", "7", 3.0), ("olx:url:https://example.com/item/1?v=1", "7", 2.0)]
     assert [r.price for r in step(two, batch(("7", url, 4.0))).collect()] == [4.0, 4.0]
+
+
+def test_a_batch_is_written_where_it_was_joined(spark, tmp_path, monkeypatch):
+    """Whole rows are shuffled to meet the stored ones, and not once more to be written; files are compressed well."""
+    rows = ["id as seq", "'olx' as source", "string(id) as external_id", "'Placa' as title", "1D as price", "'BRL' as currency", "'Lages' as location", "concat('https://www.example.com/', id) as url", "string(null) as image_url", "'gpu' as category"]
+    moved = []
+    repartition = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: (moved.append(a), repartition(self, *a))[1])
+    store = SnapshotStore(spark, f"file://{tmp_path}/store", buckets=4)
+    for number in (1, 2):
+        assert store.apply(number, spark.range(500).selectExpr(*rows), views.AS_OF) == [0, 1, 2, 3]
+    files = [str(f) for f in tmp_path.glob("store/data/*/*/*.parquet")]
+    assert store.snapshot().count() == 500 and not moved and files and all(".zstd." in f for f in files)
